@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import os
 import posixpath
 import re
 import zipfile
@@ -283,52 +284,55 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
-@dataclass
-class SheetPart(InputPartition):
-    path: str
-    index: int
+def source_class(root: str) -> type[DataSource]:
+    """The data source. Its classes travel by value, and find this package below root where it is not installed."""
 
+    schema_text = CELL_SCHEMA
 
-class XlsxReader(DataSourceReader):
-    def __init__(self, path: str, sheet: str | None):
-        self.path, self.only = path, sheet
+    def module():
+        import importlib
+        import sys
 
-    def partitions(self) -> list[SheetPart]:
-        p = Package.open(read_bytes(self.path))
-        return [SheetPart(self.path, i) for i, (n, _) in enumerate(p.sheets) if self.only is None or n.lower() == self.only.lower()]
+        if root not in sys.path:
+            sys.path.append(root)
+        return importlib.import_module("gridspark.sources.xlsx")
 
-    def read(self, partition: SheetPart) -> Iterator[tuple]:
-        p = Package.open(read_bytes(partition.path))
-        sheet = p.sheet(partition.index)
-        for c in sheet.cells:
-            yield cell_row(partition.path, partition.index, sheet.name, c)
+    class Reader(DataSourceReader):
+        def __init__(self, path: str, sheet: str | None):
+            self.path, self.only = path, sheet
 
+        def partitions(self) -> list[InputPartition]:
+            x = module()
+            p = x.Package.open(x.read_bytes(self.path))
+            return [InputPartition(i) for i, (n, _) in enumerate(p.sheets) if self.only is None or n.lower() == self.only.lower()]
 
-class XlsxSource(DataSource):
-    """spark.read.format("gridspark_xlsx").option("sheet", name).load(path): the cells of a workbook."""
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            x = module()
+            sheet = x.Package.open(x.read_bytes(self.path)).sheet(partition.value)
+            for c in sheet.cells:
+                yield x.cell_row(self.path, partition.value, sheet.name, c)
 
-    @classmethod
-    def name(cls) -> str:
-        return "gridspark_xlsx"
+    class XlsxSource(DataSource):
+        """spark.read.format("gridspark_xlsx").option("sheet", name).load(path): the cells of a workbook, a partition a sheet."""
+
+        @classmethod
+        def name(cls) -> str:
+            return "gridspark_xlsx"
+
+        def schema(self) -> str:
+            return schema_text
 
-    def schema(self) -> str:
-        return CELL_SCHEMA
+        def reader(self, schema) -> DataSourceReader:
+            return Reader(self.options["path"], self.options.get("sheet"))
 
-    def reader(self, schema) -> XlsxReader:
-        return XlsxReader(self.options["path"], self.options.get("sheet"))
+    return XlsxSource
 
 
 def read_cells(spark, path: str, sheet: str | None = None):
     """Cells of one workbook, a partition a sheet."""
-    import gridspark
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(gridspark)  # so that workers need no installed copy
-    try:
-        spark.dataSource.register(XlsxSource)
-    finally:
-        cloudpickle.unregister_pickle_by_value(gridspark)
-    r = spark.read.format(XlsxSource.name())
+    source = source_class(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    spark.dataSource.register(source)
+    r = spark.read.format(source.name())
     return (r.option("sheet", sheet) if sheet else r).load(path)
 
 
