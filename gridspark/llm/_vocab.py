@@ -21,7 +21,7 @@ L = "A-Za-zÀ-ÖØ-öø-ÿ"
 SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 #: A text with one of these goes through the library whole.
 ODD = re.compile(rf"[^\t\n\r\x20-\x7e{L}]|<\|")
-MEMO = 400_000  # pre-tokens kept by a worker
+MEMO = 1_000_000  # pre-tokens kept by a worker, about 200 bytes each
 SEGMENT = 1 << 18  # characters encoded at a time
 
 #: A single blank between other characters: no pre-token starts before and ends after it.
@@ -97,12 +97,14 @@ class Encoder:
             yield p, np.array(e.ids, dtype=self.width)
 
     def _fill(self, memo: dict, parts: list[list[str] | None], value) -> None:
-        if len(memo) > MEMO:
-            memo.clear()
         new: set[str] = set()
         for p in parts:
             if p:
                 new.update(p)
+        if len(memo) > MEMO:  # what this batch has again stays
+            stay = {p: memo[p] for p in new if p in memo}
+            memo.clear()
+            memo.update(stay)
         if new := new.difference(memo):
             for piece, ids in self.learn(list(new)):
                 memo[piece] = value(ids)

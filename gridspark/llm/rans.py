@@ -14,13 +14,19 @@ import zlib
 import numpy as np
 
 BLOCK, LANES = 1 << 16, 256
+DENSE = 1 << 22  # ids below this are looked up in an array
 LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 
 
 def table_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct ids, their frequencies scaled to a sum of 2**bits, each at least 1, and bits."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if len(ids) and int(ids.max()) < DENSE:
+        all_counts = np.bincount(ids)
+        symbols = np.flatnonzero(all_counts)
+        counts = all_counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     bits = max(16, int(np.ceil(np.log2(max(2, len(symbols))))) + 4)
     total = 1 << bits
     freqs = np.maximum(1, counts.astype(np.float64) * total // max(1, counts.sum())).astype(np.int64)
@@ -57,7 +63,12 @@ def encode(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     f_of = np.append(freqs.astype(np.uint64), np.uint64(1 << bits))
     c_of = np.append(starts, np.uint64(0))
     grid = np.full(len(per) * steps * LANES, len(symbols), dtype=np.int64)
-    codes = np.searchsorted(symbols, ids)
+    if int(symbols[-1]) < DENSE:
+        code_of = np.zeros(int(symbols[-1]) + 1, np.int64)
+        code_of[symbols] = np.arange(len(symbols))
+        codes = code_of[ids]
+    else:
+        codes = np.searchsorted(symbols, ids)
     if len(per) > 1 and steps * LANES == BLOCK:
         grid[:n] = codes
     else:
@@ -67,7 +78,7 @@ def encode(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     x = np.full((len(per), LANES), LOW, dtype=np.uint64)
     shift, top = np.uint64(bits), np.uint64(63 - bits)
     words, owners = [], []
-    block = np.broadcast_to(np.arange(len(per), dtype=np.int32)[:, None], x.shape)
+    block = np.broadcast_to(np.arange(len(per), dtype=np.uint16 if len(per) < 1 << 16 else np.int64)[:, None], x.shape)
     for t in range(steps - 1, -1, -1):
         code = grid[:, t, :]
         f, c = f_of[code], c_of[code]
@@ -80,7 +91,7 @@ def encode(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
         x = (q << shift) + (x - q * f) + c
     words, owners = words[::-1], owners[::-1]
     flat = np.concatenate(words) if words else np.zeros(0, np.uint32)
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int32)
+    owner = np.concatenate(owners) if owners else np.zeros(0, np.uint16)
     flat = flat[np.argsort(owner, kind="stable")].astype("<u4")
     sizes = np.bincount(owner, minlength=len(per))
     at = np.concatenate([[0], np.cumsum(sizes)])
