@@ -1,8 +1,8 @@
 """Toxicity (operator 2): a bag of subword vectors averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its character n-grams and of itself, hashed into BUCKETS rows, so a
-misspelling that was never seen shares most of them. A bag is a run of WINDOW words: its mean goes through a linear
-softmax. A document's score is that of its strongest run, whatever its length, so a few toxic words are not thinned out
+misspelling that was never seen shares most of them. A bag is a run of WINDOW words, in which a word that is
+repeated counts once and then as an average word: its mean goes through a linear softmax. A document's score is that of its strongest run, whatever its length, so a few toxic words are not thinned out
 by a long text. Labels belong to documents, so training alternates: it picks each toxic document's strongest run and
 each clean document's strongest and some random ones, then fits vectors and softmax on these bags.
 
@@ -26,7 +26,7 @@ from gridspark.llm._common import field
 BUCKETS = 1 << 18
 DIMENSIONS = 8
 WINDOW = 16
-NGRAMS = (3, 4, 5)
+NGRAMS = (3, 4, 5, 6)
 #: Bounds of the sample that a model is fitted on, in labelled rows (taken in the order of a hash of the id).
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 EPOCHS = 14
@@ -72,6 +72,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     weights: np.ndarray  # of the buckets: label 1 less label 0
     bias: float
+    plain: float = 0.0  # score of an average word of clean documents
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -80,9 +81,19 @@ class Model:
         return np.add.reduceat(self.weights[at], np.concatenate([[0], np.cumsum(n)[:-1]])) / n
 
 
-def strongest(scores: np.ndarray, window: int = WINDOW) -> tuple[float, int]:
+def once(codes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which words do not stand among the window - 1 words before them; codes are equal for equal words."""
+    order = np.argsort(codes, kind="stable")
+    again = (codes[order[1:]] == codes[order[:-1]]) & (np.diff(order) < window)
+    new = np.ones(len(codes), bool)
+    new[order[1:][again]] = False
+    return new
+
+
+def strongest(scores: np.ndarray, codes: np.ndarray, plain: float = 0.0, window: int = WINDOW) -> tuple[float, int]:
     """Mean of the strongest run of `window` words (of all, if there are fewer), and where it begins."""
     n = len(scores)
+    scores = np.where(once(codes, window), scores, min(plain, 0.0))
     if n <= window:
         return (float(scores.mean()) if n else 0.0), 0
     total = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
@@ -112,8 +123,9 @@ def fit(texts: list[str], labels: list[int], check: list[bool], *, seed: int = 0
     def step(bags: list[np.ndarray], target: np.ndarray, weight: np.ndarray, rate: float) -> None:
         nonlocal vectors, layer, bias
         size = np.array([len(b) for b in bags])
+        bags = [np.unique(b) for b in bags]
         words, inverse = np.unique(np.concatenate(bags), return_inverse=True)
-        row = np.repeat(np.arange(len(bags)), size)
+        row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
         n = count[words]
         ends = np.cumsum(n)
         at = flat[np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(start[words], n)]
@@ -140,6 +152,9 @@ def fit(texts: list[str], labels: list[int], check: list[bool], *, seed: int = 0
         layer = layer - 0.3 * rate * d_layer / np.sqrt(sum_l)
         bias = bias - 0.3 * rate * d_bias / np.sqrt(sum_b)
 
+    def average(score: np.ndarray) -> float:
+        return float(np.mean([score[docs[i]].mean() for i in clean])) if clean else 0.0
+
     toxic = [i for i in np.flatnonzero((y == 1) & ~held) if len(docs[i])]
     clean = [i for i in np.flatnonzero((y == 0) & ~held) if len(docs[i])]
     for epoch in range(epochs):
@@ -150,7 +165,8 @@ def fit(texts: list[str], labels: list[int], check: list[bool], *, seed: int = 0
             bags.append(docs[i][at : at + WINDOW])
             target.append(label)
 
-        best = {i: strongest(score[docs[i]]) for i in toxic + clean}
+        plain = average(score)
+        best = {i: strongest(score[docs[i]], docs[i], plain) for i in toxic + clean}
         floor = np.quantile([best[i][0] for i in toxic], LEFT_OUT) if epoch >= 3 and toxic else -np.inf
         for i in toxic:
             if best[i][0] >= floor:
@@ -170,20 +186,20 @@ def fit(texts: list[str], labels: list[int], check: list[bool], *, seed: int = 0
         for s in range(0, len(order), 256):
             k = order[s : s + 256]
             step([bags[j] for j in k], goal[k], weight[k], 0.25 * (1 - 0.8 * epoch / epochs))
-    model = Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), 0.0)
     score = scores()
+    model = Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), 0.0, average(score))
     use = held if len(set(y[held].tolist())) == 2 else np.ones(len(y), bool)
-    best = np.array([strongest(score[d])[0] for d in docs])[use]
+    best = np.array([strongest(score[d], d, model.plain)[0] for d in docs])[use]
     model.bias = -_threshold(best, y[use])
     return model
 
 
 def _threshold(best: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest gap in scores among those that lose least, a clean document counting as three toxic ones."""
+    """The middle of the scores that lose least, a clean document that is rejected counting as two toxic ones that are not."""
     cut = np.unique(best)
     cut = np.concatenate([[cut[0] - 1], (cut[1:] + cut[:-1]) / 2, [cut[-1] + 1]])
     toxic, clean = np.sort(best[y == 1]), np.sort(best[y == 0])
-    loss = np.searchsorted(toxic, cut) / len(toxic) + 3 * (1 - np.searchsorted(clean, cut) / len(clean))
+    loss = np.searchsorted(toxic, cut) / len(toxic) + 2 * (1 - np.searchsorted(clean, cut) / len(clean))
     good = cut[loss <= loss.min() + 1e-9]
     return float((good.min() + good.max()) / 2)
 
@@ -213,22 +229,24 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
 
     A null or empty text, and one without letters or digits, has the score of a bag of zero, below 0.5. Null ids stay,
     repeated rows are scored each, an empty table gives no rows, other columns are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.plain))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        memo: dict[str, float] = {}
+        memo: dict[str, int] = {}  # numbers of words
+        scores = np.zeros(0)
         for b in batches:
             out = np.zeros(b.num_rows)
             for at in range(0, b.num_rows, 500):
                 if len(memo) > MEMO:
-                    memo.clear()
+                    memo, scores = {}, np.zeros(0)
                 words = [WORDS((t or "").lower()) for t in b.column(1)[at : at + 500].to_pylist()]
                 new = list({w for ws in words for w in ws}.difference(memo))
-                for i in range(0, len(new), 20_000):
-                    memo.update(zip(new[i : i + 20_000], own.word_scores(new[i : i + 20_000]).tolist(), strict=True))
+                memo.update(zip(new, range(len(scores), len(scores) + len(new)), strict=True))
+                scores = np.concatenate([scores, *(own.word_scores(new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
                 for k, ws in enumerate(words):
-                    out[at + k] = strongest(np.fromiter(map(memo.__getitem__, ws), np.float64, len(ws)))[0] if ws else min(0.0, -own.bias - 1)
+                    codes = np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))
+                    out[at + k] = strongest(scores[codes], codes, own.plain)[0] if ws else min(0.0, -own.bias - 1)
             z = np.clip(out + own.bias, -30, 30)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-z)))], ["id", "score"])
 
