@@ -12,7 +12,7 @@ spanning forest, never as all pairs. Components of the forest's edges are found
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -188,22 +188,16 @@ def _tile(x: Column, k: int) -> list[Column]:
 def links(prints: DataFrame, n: int, radius: int = 2, *, segments: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Edges (a, b) that join all of the n distinct fingerprints (column print) that differ in radius bits or fewer."""
     k = segments or segments_for(n)
-    base = 64 // k + 1
-    near = [d for d in product(range(-radius, radius + 1), repeat=k) if sum(map(abs, d)) <= radius] if k <= 4 else _ball(k, radius)
-    ahead = [d for d in near if d > (0,) * k]  # of two tiles, one visits the other
-
-    def packed(c: list[Column], d: tuple[int, ...]) -> Column:
-        fits = [(x + s).between(0, base - 1) for x, s in zip(c, d, strict=True) if s]
-        total = F.lit(0).cast("long")
-        for x, s in zip(c, d, strict=True):
-            total = total * base + (x + s)
-        return total if not fits else F.when(_all(fits), total)
-
-    counts = [F.col(f"c{i}") for i in range(k)]
-    rows = prints.select("print", *(x.alias(f"c{i}") for i, x in enumerate(_tile(F.col("print"), k))))
-    homes = rows.select("print", packed(counts, (0,) * k).alias("tile"))
-    full = homes.groupBy("tile").count().where(F.col("count") > chunk_rows).select("tile", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks"))
-    visits = rows.select("print", F.array(packed(counts, (0,) * k), *(packed(counts, d) for d in ahead)).alias("tiles")).select(F.col("print").alias("node"), F.col("print").alias("bits"), F.posexplode("tiles").alias("pos", "tile")).where("tile is not null")
+    base = 64 // k + 1 + 2 * radius  # so no neighbour's number is another tile's
+    number = lambda digits: sum((d * base**i for i, d in enumerate(digits)), 0)
+    ahead = [number(d) for d in _ball(k, radius) if d > (0,) * k]  # of two tiles, one visits the other
+    tile = F.lit(0).cast("long")
+    for i, c in enumerate(_tile(F.col("print"), k)):
+        tile = tile + (c + radius).cast("long") * F.lit(base**i)
+    rows = prints.select("print", tile.alias("tile"))
+    full = rows.groupBy("tile").count().where(F.col("count") > chunk_rows).select("tile", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks"))
+    steps = F.array(*[F.lit(x).cast("long") for x in [0, *ahead]])
+    visits = rows.select(F.col("print").alias("node"), F.col("print").alias("bits"), F.posexplode(F.transform(steps, lambda x: x + F.col("tile"))).alias("pos", "tile"))
     return compared(visits, full, radius)
 
 
@@ -230,13 +224,6 @@ def compared(visits: DataFrame, full: DataFrame, radius: int) -> DataFrame:
     return dealt.groupBy("tile", "chunk").applyInArrow(linked, "a long, b long")
 
 
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
-
-
 def _ball(k: int, radius: int) -> list[tuple[int, ...]]:
     """Integer vectors of length k whose absolute values sum to radius or less."""
     out = [(0,) * k]

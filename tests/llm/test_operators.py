@@ -1,0 +1,407 @@
+"""Each operator against a plain version, on texts of all kinds, and on odd and empty tables."""
+
+import hashlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+import public_tokenizers as P
+from gridspark.llm import _vocab, decontamination, doc_fingerprints, line_dedup, mixing, mph, pii, rans, secret_scan, simhash, token_counts, token_output, toxicity
+from gridspark.llm._common import bounds, bucket_of, new_path
+
+WORDS, BYTES = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
+
+
+def rows(df, *cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=lambda r: (r[0] is None, r[0] or 0))
+
+
+# 1, 7
+
+
+def test_token_counts(docs, ordered):
+    got = rows(token_counts.count_tokens(docs, WORDS), "doc_id", "n_bytes", "n_tokens", "over_limit")
+    assert got == brute.op1(ordered, WORDS)
+
+
+def test_token_counts_of_another_kind_of_file(docs, ordered):
+    got = rows(token_counts.count_tokens(docs, BYTES), "doc_id", "n_tokens")
+    assert got == [(i, n) for i, _, n, _ in brute.op1(ordered, BYTES)]
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_segments_and_small_memo(path, texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(_vocab, "MEMO", 50)
+    monkeypatch.setattr(_vocab, "segments", lambda t, most=40, f=_vocab.segments: f(t, most))
+    enc, lib = _vocab.Encoder(path), Tokenizer.from_file(path)
+    some = [t or "" for t in texts]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in some]
+    assert enc.count_many(some) == [len(w) for w in want]
+    assert [x.tolist() for x in enc.encode_many(some)] == want
+
+
+def test_segments_join():
+    for t in ("", "a", "a b c d e f", "a  b\n c   d", "x" * 100, "ab " * 50):
+        assert "".join(_vocab.segments(t, 4)) == t
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 257, 65_535, 65_536, 65_537, 150_000])
+def test_rans_round_trip(n):
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.zipf(1.3, n), 50_256).astype("<u2")
+    assert np.array_equal(rans.decode(*rans.encode(ids)), ids)
+
+
+def test_rans_blocks_alone_and_damage():
+    rng = np.random.default_rng(0)
+    ids = np.minimum(rng.zipf(1.2, 200_000), 1 << 30).astype("<u4")
+    table, blocks, words = rans.encode(ids)
+    assert np.array_equal(rans.decode(table, blocks, words, 1, 3), ids[rans.BLOCK : 3 * rans.BLOCK])
+    assert len(words) < ids.nbytes
+    bad = bytearray(words)
+    bad[100] ^= 1
+    with pytest.raises(ValueError):
+        rans.decode(table, blocks, bytes(bad))
+
+
+def test_token_files(spark, docs, ordered):
+    path = new_path(spark, "tokens")
+    token_output.write_tokens(docs, path, BYTES, segment_ids=2000, shards=5)
+    assert rows(token_output.read_tokens(spark, path), "doc_id", "start", "n_tokens", "ids_crc32") == brute.op7(ordered, BYTES)
+    assert spark.read.parquet(path).count() > 5
+    ids = {r["doc_id"]: r["tokens"] for r in token_output.read_tokens(spark, path).collect()}
+    assert all(ids[i][-1] == 0 for i, _ in ordered)
+
+
+def test_token_files_of_odd_rows(spark, odd, empty):
+    path = new_path(spark, "tokens")
+    token_output.write_tokens(odd, path, BYTES)
+    got = sorted(((r["start"], r["doc_id"], r["n_tokens"]) for r in token_output.read_tokens(spark, path).collect()))
+    assert [i for _, i, _ in got] == [1, 1, 2, 2, 3, 4, None, None, None] and [s for s, *_ in got] == list(np.cumsum([0, *[n for *_, n in got]])[:-1])
+    token_output.write_tokens(empty, path := new_path(spark, "tokens"), BYTES)
+    assert token_output.read_tokens(spark, path).count() == 0
+
+
+# 2
+
+
+@pytest.fixture(scope="module")
+def toxic_model():
+    import random
+
+    rng = random.Random(2)
+    plain = ["".join(rng.choice(["th", "er", "on", "an", "re", "ed", "nd"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    bad = ["idiot", "moron", "pathetic", "worthless", "disgusting"]
+
+    def text(toxic, bad=bad):
+        w = [rng.choice(plain) for _ in range(rng.randint(20, 200))]
+        for _ in range(3 if toxic else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        return " ".join(w)
+
+    y = [int(rng.random() < 0.2) for _ in range(700)]
+    model = toxicity.fit([text(t) for t in y], y, [k % 4 == 0 for k in range(len(y))])
+    return model, text
+
+
+def test_toxicity_held_out(spark, toxic_model):
+    model, text = toxic_model
+    docs = spark.createDataFrame([(k, text(k % 2, None) if not k % 2 else text(1)) for k in range(200)] + [(k, text(1, ["idioot", "morron", "patheticc", "worthles", "disgustingg"])) for k in range(201, 260, 2)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
+    right = [got[k]["predicted"] == k % 2 for k in range(200)]
+    assert sum(right) >= 190
+    assert np.mean([got[k]["predicted"] for k in range(201, 260, 2)]) >= 0.7  # misspelled, never seen
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+
+
+def test_toxicity_of_odd_rows(docs, odd, empty, toxic_model):
+    model, _ = toxic_model
+    assert toxicity.score_toxicity(odd, model).count() == 9 and toxicity.score_toxicity(empty, model).count() == 0
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.count() <= docs.count()
+    assert {r["predicted"] for r in toxicity.score_toxicity(odd.where("text is null or text = ''"), model).collect()} == {0}
+
+
+def test_toxicity_learns_only_from_its_folds(spark):
+    import zlib
+
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 3 == 0) for k in range(300)] + [(None, True), (5, None)], "doc_id long, toxic boolean").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    used = {int(t.split()[1]) for t, _, _ in toxicity.training_sample(docs, labels)}
+    assert used == {k for k in range(300) if zlib.crc32(str(k).encode()) % 5}
+    assert len(toxicity.training_sample(docs, labels, max_toxic=5, max_clean=7)) == 12
+    assert toxicity.train(docs, labels.limit(0)).bias < 0
+
+
+# 3
+
+
+def test_line_dedup(docs, ordered):
+    for options in ({}, {"shard_keys": 7, "hot_keys": 3}):
+        got = line_dedup.dedup_lines(docs.select("doc_id", "text"), **options)
+        assert rows(got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("s")), "doc_id", "n_lines", "n_dropped", "s") == brute.op3(ordered)
+
+
+def test_line_dedup_hot_keys(spark):
+    many = [(k, "a very common line stands in all\n" + f"line number {k} is alone here") for k in range(3000)]
+    docs = spark.createDataFrame(many, "doc_id long, text string")
+    got = rows(line_dedup.dedup_lines(docs, hot_keys=4, shard_keys=100).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("s")), "doc_id", "n_lines", "n_dropped", "s")
+    assert got == brute.op3(many)
+
+
+def test_line_dedup_of_odd_rows(odd, empty, docs):
+    got = line_dedup.dedup_lines(odd, min_chars=3)
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in got.collect())
+    assert len(kept) == 9 and (False, 2, "row that is there twice in this table") in kept and (True, 0, "null id one two three four five six") in kept
+    assert line_dedup.dedup_lines(empty).count() == 0
+    assert line_dedup.dedup_lines(docs).columns == [*docs.columns, "_n_lines", "n_dropped"]
+
+
+def test_minimal_perfect_hash():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000, 50_000):
+        h1, h2 = rng.integers(0, 1 << 63, n, np.uint64), rng.integers(0, 1 << 63, n, np.uint64)
+        index = mph.Index.load(mph.Index(h1, h2, np.arange(n) + 1, np.arange(n) * 3).dump())
+        assert sorted(index.places(h1, h2).tolist()) == list(range(n))
+        found, count, first = index.probe(h1, h2)
+        assert found.all() and (count == np.arange(n) + 1).all() and (first == np.arange(n) * 3).all()
+        other = rng.integers(0, 1 << 63, 1000, np.uint64)
+        assert index.probe(other, other)[0].sum() <= 2
+
+
+# 4
+
+
+def test_secrets(spark, docs, odd, empty):
+    model = secret_scan.train(spark)
+    made = secret_scan.made_up_findings(400, seed=99)
+    lines = spark.createDataFrame([(k, line, path, y) for k, (path, line, y) in enumerate(made)], "doc_id long, text string, source string, y int")
+    got = secret_scan.scan(lines, model).groupBy("doc_id").agg(F.max(F.col("is_secret").cast("int")).alias("s"))
+    both = lines.join(got, "doc_id", "left").select("y", F.coalesce("s", F.lit(0)).alias("s")).collect()
+    assert np.mean([r["y"] == r["s"] for r in both]) >= 0.9
+    found = secret_scan.scan(docs, model).where("is_secret").collect()
+    assert [r["candidate"] for r in found if r["candidate"].startswith("04dbe")] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+    assert not [r for r in found if set(r["candidate"]) <= set("0123456789+.-() ")]
+    assert secret_scan.scan(odd, model).count() == 0 and secret_scan.scan(empty, model).count() == 0
+    assert "Python" not in secret_scan.scan(docs, model)._jdf.queryExecution().executedPlan().toString()
+
+
+# 5
+
+
+@pytest.mark.parametrize("sizes, weights", [([10, 10, 10], [5, 2, 1]), ([1, 100, 100], [5, 2, 1]), ([0, 5], [5, 2]), ([], []), ([7], [5])])
+def test_targets(sizes, weights):
+    t = mixing.capped_targets(sizes, weights)
+    assert sum(t) == sum(sizes) and all(x <= 3 * s for x, s in zip(t, sizes, strict=True))
+
+
+def test_sainte_lague():
+    def plain(votes, seats):
+        won = [0] * len(votes)
+        for _ in range(seats):
+            k = max(range(len(votes)), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
+            won[k] += 1
+        return won
+
+    rng = np.random.default_rng(4)
+    for seats in (0, 1, 7, 100, 999):
+        votes = rng.integers(1, 1000, 9).tolist()
+        assert mixing.sainte_lague(votes, seats) == plain(votes, seats)
+    assert mixing.sainte_lague([0, 0], 5) == [0, 0]
+
+
+def test_mixing(docs, ordered):
+    got = mixing.mix(docs, block_words=16, shard_rows=40)
+    again = mixing.mix(docs.repartition(3), block_words=16, shard_rows=40)
+    cols = ("doc_id", "size", "source_size", "target", "taken")
+    assert rows(got, *cols) == rows(again, *cols)
+    found = {r["doc_id"]: r for r in got.collect()}
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    assert [found[i]["size"] for i, _ in ordered] == [len(brute.WORD.findall(t or "")) for i, t in ordered]
+    assert all(r["taken"] <= 3 * r["size"] for r in found.values())
+    for s in set(source.values()):
+        mine = [r for i, r in found.items() if source[i] == s]
+        assert sum(r["size"] for r in mine) == mine[0]["source_size"]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 16 * 5
+    order = sorted(set(source.values()), key=lambda s: (s is None, s or ""))
+    want = mixing.capped_targets([next(r for i, r in found.items() if source[i] == s)["source_size"] for s in order], [5, 2, 1, 5][: len(order)])
+    assert [next(r for i, r in found.items() if source[i] == s)["target"] for s in order] == [float(t) for t in want]
+
+
+def test_mixed_documents(docs, odd, empty):
+    mixed = mixing.mixed_documents(docs, block_words=16, shard_rows=40)
+    assert mixed.columns == docs.columns
+    words = mixed.groupBy("doc_id").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(brute.WORD.pattern)), F.lit(0))).alias("n"))
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block_words=16, shard_rows=40).collect()}
+    assert {r["doc_id"]: r["n"] for r in words.collect() if r["n"]} == {i: n for i, n in taken.items() if n}
+    assert mixed.where("n_chars != length(text)").count() == 0
+    assert mixing.mix(odd).count() == 9 and mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+# 6
+
+
+def test_simhash(docs, ordered):
+    got = simhash.near_groups(docs)
+    want = brute.op6(ordered)
+    assert rows(got.select(F.col("id"), F.lpad(F.lower(F.hex("print")), 16, "0").alias("f"), "component_id"), "id", "f", "component_id") == want
+
+
+@pytest.mark.parametrize("segments, chunk", [(2, 65_536), (4, 3), (8, 50), (16, 65_536)])
+def test_links_of_random_prints(spark, segments, chunk):
+    rng = np.random.default_rng(segments)
+    base = rng.integers(0, 1 << 63, 150, np.uint64)
+    flips = [base]
+    for bits in (1, 2, 3):
+        x = base[:100].copy()
+        for _ in range(bits):
+            x ^= np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64)
+        flips.append(x)
+    prints = np.unique(np.concatenate([*flips, [np.uint64(0), np.uint64(3), np.uint64(7)]]))
+    df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "print long")
+    from gridspark.llm.components import components
+
+    roots = {r["node"]: r["root"] for r in components(simhash.links(df, len(prints), 2, segments=segments, chunk_rows=chunk)).collect()}
+    a = np.arange(len(prints))
+    label = a.copy()
+    for k in range(len(prints)):
+        near = np.flatnonzero(np.bitwise_count(prints ^ prints[k]) <= 2)
+        label = simhash.merge(label, np.full(len(near), k), near)
+    got = [roots.get(int(p), int(p)) for p in prints.view(np.int64)]
+    assert len(set(zip(got, label.tolist(), strict=True))) == len(set(got)) == len(set(label.tolist()))
+
+
+def test_long_texts_in_parts(monkeypatch, texts):
+    want = [simhash.fingerprint(t.encode()) for t in texts if t]
+    monkeypatch.setattr(simhash, "PART_BYTES", 50)
+    assert [simhash.fingerprint(t.encode()) for t in texts if t] == want
+
+
+def test_near_duplicates_go(spark, docs, odd, empty):
+    import random
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    rows_, groups = [], []
+    for g in range(40):
+        w = [rng.choice(vocabulary) for _ in range(300)]
+        for copy in range(1 + g % 4):
+            v = list(w)
+            for _ in range(copy):
+                v[rng.randrange(300)] = "other"
+            rows_.append((len(rows_), " ".join(v)))
+            groups.append(g)
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert kept == {groups.index(g) for g in range(40)}
+    out = simhash.drop_near_duplicates(odd)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == [(False, 1), (False, 1), (False, 2), (False, 3), (True, 0)]
+    assert simhash.drop_near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(docs).columns == docs.columns
+    assert simhash.near_groups(odd).count() == 9 and simhash.near_groups(empty).count() == 0
+
+
+# 8
+
+
+def test_fingerprints(spark, docs, ordered):
+    got = doc_fingerprints.edited_pairs(docs)
+    assert rows(got, "doc_id", "n_chars", "edited_sha256") == brute.op8_edits(ordered)
+    text, seen = dict(ordered), {}
+    for r in got.collect():
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        seen.setdefault(r["fingerprint"], set()).add(tuple(sorted((text[r["doc_id"]] or "").split("\n"))))
+    assert all(len(v) == 1 for v in seen.values())
+    alone = {r["doc_id"]: r["fingerprint"] for r in doc_fingerprints.fingerprint_documents(docs).collect()}
+    assert alone == {r["doc_id"]: r["fingerprint"] for r in got.collect()}
+    shas = {hashlib.sha256(t.encode()).hexdigest() for t in ["one"]}
+    assert shas
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paragraphs_add_and_take_away(spark):
+    a, b = "first paragraph of it\nsecond one here", "third follows\nfirst paragraph of it"
+    df = spark.createDataFrame([(0, a), (1, b), (2, "second one here\nfirst paragraph of it"), (3, a + "\n" + b)], "doc_id long, text string")
+    f = {r["doc_id"]: r["fingerprint"] for r in doc_fingerprints.fingerprint_documents(df).collect()}
+    assert f[0] == f[2] != f[1]
+    sums = spark.createDataFrame([(f[0], f[1], f[3])], "a string, b string, c string").select(doc_fingerprints.added(F.col("a"), F.col("b")), doc_fingerprints.added(F.col("c"), F.col("b"), -1)).first()
+    assert sums[0] == f[3] and sums[1] == f[0]
+
+
+def test_fingerprints_of_odd_rows(spark, odd, empty):
+    assert doc_fingerprints.edited_pairs(odd).count() == 9 and doc_fingerprints.edited_pairs(empty).count() == 0
+    one = doc_fingerprints.edited_pairs(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).first()
+    assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one["near_next"] == 1
+
+
+def test_runs_keep_order(spark):
+    df = spark.createDataFrame([(int(x),) for x in np.random.default_rng(0).integers(-50, 50, 500)], "k long")
+    ends = bounds(df, "k", 9)
+    got = df.select("k", bucket_of(F.col("k"), ends).alias("b")).collect()
+    assert all(r["b"] == sum(e <= r["k"] for e in ends) for r in got)
+
+
+# 9
+
+
+def test_personal_data_base(docs, ordered):
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    for i, t in ordered:
+        base = [(s["kind"], s["start"], s["end"]) for s in got[i]["base"]]
+        assert base == brute.op9_base(t)
+        assert set(base) <= {(s["kind"], s["start"], s["end"]) for s in got[i]["spans"]}
+
+
+@pytest.mark.parametrize("text", ["a.b@c.d@e.f", "x" * 300 + "@a.b", "@a.b", "a@b.c,d@e.f", "é@a.b.c", "1@2.3.4.5 +1-2345678901 1.2.3.4.5.6.7.8", "0000 0000 0000 0000 0", "a@b.-", "++1 (234) 567-8901-"])
+def test_personal_data_patterns(text):
+    assert pii.base_spans(text) == brute.op9_base(text)
+
+
+def test_model_parts_neighbours():
+    text = "pay 4845168114407329 4845168114407329 or +1 (826) 555-4081 190.137.223.204 now"
+    found = pii.all_spans(text, pii.base_spans(text), pii.trained())
+    assert [(k, text[s:e]) for k, s, e in found] == [("card", "4845168114407329"), ("card", "4845168114407329"), ("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")]
+    clean = "in 2024-01-15 version 10.2.1 had 1234567 lines and 12 34 56 78 90 12, isbn 978-3-16-148410-0, sum 1 000 000 000 000"
+    assert [s for s in pii.all_spans(clean, pii.base_spans(clean), pii.trained()) if s[0] != "ip"] == []
+
+
+def test_model_held_out():
+    from gridspark.llm.semicrf import examples
+
+    model, right, wrong, all_ = pii.trained(), 0, 0, 0
+    for region, gold in examples(200, seed=1234):
+        got = {s for s in model.best(region) if pii.plausible(s[0], region.text[s[1] : s[2]])}
+        right, wrong, all_ = right + len(got & set(gold)), wrong + len(got - set(gold)), all_ + len(gold)
+    assert right / all_ >= 0.85 and wrong / max(1, right) <= 0.1
+
+
+def test_redaction_and_odd_rows(spark, odd, empty):
+    one = spark.createDataFrame([(1, "mail bob.34@mail7.example.com or 1.2.3.4")], "doc_id long, text string")
+    assert pii.redact(one).first()["text"] == "mail <email> or <ip>"
+    assert pii.find_personal_data(odd).count() == 9 and pii.find_personal_data(empty).count() == 0
+
+
+# 10
+
+
+def test_decontamination(spark, docs, odd, empty):
+    item = "the quick brown fox runs over the lazy dog near a big river today"
+    asked = "In the shop Maria pays 12 dollars for 3 apples while Peter pays 12 dollars for pears and goes home"
+    bench = spark.createDataFrame([(1, item), (2, asked), (3, "too short"), (4, None), (None, item), (5, item)], "item_id long, text string")
+    texts = [
+        "before " + item + " after", "words of " + item.replace("lazy", "tired"), " ".join(reversed(item.split())),
+        "so in the shop Anna pays 99 dollars for 4 apples while Jacob pays 99 dollars for pears and goes home now",
+        "so in the shop Anna pays 98 dollars for 4 apples while Jacob pays 99 dollars for pears and goes home now", "nothing here at all", None, "",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["item_ids"] for r in decontamination.find_contamination(df, bench).collect()}
+    assert got == {0: [1, 5], 3: [2]}
+    assert {r["id"]: r["item_ids"] for r in decontamination.find_contamination(df, bench, most_broadcast=0).collect()} == got
+    kept = decontamination.drop_contaminated(df, bench)
+    assert {r["doc_id"] for r in kept.collect()} == {1, 2, 4, 5, 6, 7}
+    assert decontamination.find_contamination(odd, bench).count() == 0 and decontamination.find_contamination(empty, bench).count() == 0
+    assert decontamination.find_contamination(df, bench.limit(0)).count() == 0
+    same = decontamination.drop_contaminated(docs, bench)
+    assert same.columns == docs.columns and same.count() == docs.count()
