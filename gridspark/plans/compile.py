@@ -34,7 +34,8 @@ class Val:
     constant: Any = None
 
 
-NO_ERROR = F.lit(None).cast("string")
+def no_error() -> Column:
+    return F.lit(None).cast("string")
 
 
 def kind_of(spark_type: str) -> str:
@@ -672,7 +673,7 @@ class Compiler:
     def f_if(self, test: g.Node, yes: g.Node = g.Bool(True), no: g.Node = g.Bool(False)) -> Val:
         t, a, b = self.truth(self.expr(test)), self.expr(yes), self.expr(no)
         a, b = self.alike(a, b)
-        err = None if a.err is None and b.err is None else F.when(t.value, a.err if a.err is not None else NO_ERROR).otherwise(b.err if b.err is not None else NO_ERROR)
+        err = None if a.err is None and b.err is None else F.when(t.value, a.err if a.err is not None else no_error()).otherwise(b.err if b.err is not None else no_error())
         return Val(F.when(t.value, a.value).otherwise(b.value), a.kind, first_error(t.err, err))
 
     def alike(self, a: Val, b: Val) -> tuple[Val, Val]:
@@ -693,7 +694,7 @@ class Compiler:
             if first:
                 out, first = Val(F.lit(None).cast({"text": "string", "bool": "boolean", "date": "date"}.get(a.kind, "double")), a.kind if a.kind != "blank" else "number", F.lit("Na")), False
             a, out = self.alike(a, out)
-            err = F.when(t.value, a.err if a.err is not None else NO_ERROR).otherwise(out.err if out.err is not None else NO_ERROR)
+            err = F.when(t.value, a.err if a.err is not None else no_error()).otherwise(out.err if out.err is not None else no_error())
             out = Val(F.when(t.value, a.value).otherwise(out.value), a.kind, first_error(t.err, err))
         return out
 
