@@ -20,10 +20,10 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     """(id, component): component is the smallest id that can be reached. Each round takes the least label of the neighbours
     and then the label of that label, so long chains shorten fast; every few rounds the lineage is cut by a checkpoint."""
     spark = nodes.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+    if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridspark-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridspark-"))
     both = edges.toDF("a", "b").union(edges.toDF("b", "a").select("a", "b")).distinct().checkpoint()
     label = nodes.select("id", F.col("id").alias("component")).checkpoint()
     for _ in range(rounds):
