@@ -108,9 +108,12 @@ def fit(texts: list[str], labels: list[int], check: list[bool], *, seed: int = 0
     number: dict[str, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in WORDS((t or "").lower())], np.int64) for t in texts]
     y, held = np.array(labels, np.int64), np.array(check, bool)
-    if not number or len(set(y.tolist())) < 2:
+    if not len(number) or len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), -4.0 if not len(y) or y.mean() < 0.5 else 4.0)
-    flat, count = subwords(list(number))
+    known = list(number)
+    parts = [subwords(known[i : i + 20_000]) for i in range(0, len(known), 20_000)]  # in parts: bounded memory
+    flat, count = np.concatenate([a.astype(np.int32) for a, _ in parts]), np.concatenate([c for _, c in parts])
+    del parts, known, number
     start = np.concatenate([[0], np.cumsum(count)[:-1]])
     vectors = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
