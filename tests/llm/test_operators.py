@@ -303,6 +303,40 @@ def test_near_duplicates_go(spark, docs, odd, empty):
     assert simhash.near_groups(odd).count() == 9 and simhash.near_groups(empty).count() == 0
 
 
+def test_near_duplicates_are_decided_by_their_shingles(spark):
+    rows_ = []
+    for g in range(120):  # a passage of shingles that both hold, then words of their own
+        shared, own = (245, 30) if g % 2 else (240, 35)  # 241 / 301 = 0.801 and 236 / 306 = 0.771
+        both = [f"s{g}x{i}" for i in range(shared)]
+        rows_ += [(2 * g, " ".join(both + [f"a{g}x{i}" for i in range(own)])), (2 * g + 1, " ".join(both + [f"b{g}x{i}" for i in range(own)]))]
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert kept == {2 * g for g in range(120)} | {2 * g + 1 for g in range(0, 120, 2)}
+
+
+def test_a_repeated_line_makes_no_near_duplicates(spark):
+    line = "this one line stands in very many of them "
+    rows_ = [(g, line * 60 + " ".join(f"w{g}x{i}" for i in range(100))) for g in range(30)]
+    assert simhash.drop_near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).count() == 30
+
+
+@pytest.mark.parametrize("rows", [2, 5, 1000])
+def test_alike_in_chunks(spark, rows):
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 2**63, 60).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.concatenate([base[k % 6][: 60 - k % 11], rng.integers(0, 2**63, k % 7).astype(np.uint64)])) for k in range(70)]
+    label = np.arange(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            n = len(np.intersect1d(sets[i], sets[j]))
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                label = simhash.merge(label, np.array([i]), np.array([j]))
+    from gridspark.llm.components import components
+
+    df = spark.createDataFrame([(k, 0, bytearray(x.tobytes())) for k, x in enumerate(sets)], "node long, root long, shingles binary")
+    roots = {r["node"]: r["root"] for r in components(simhash.verified(df, set_rows=rows)).collect()}
+    assert [roots.get(k, k) for k in range(len(sets))] == label.tolist()
+
+
 # 8
 
 
