@@ -1,7 +1,8 @@
 """Benchmark decontamination (operator 10, native): canonical templates, joined by the hash of their windows.
 
 A text becomes a template of lower-case tokens in which numbers, names (capitalised words inside a sentence) and units
-after numbers are typed placeholders. Windows of WINDOW tokens are hashed on both sides and joined. The benchmark's side is
+after numbers are typed placeholders. A second template also takes capitalised words elsewhere for names, unless they are
+common; a window counts if it matches in either. Windows of WINDOW tokens are hashed on both sides and joined. The benchmark's side is
 broadcast where a count shows that it has MOST_BROADCAST windows at most; beyond that both sides are shuffled. A document
 is contaminated by an item if it holds half of the item's windows, or enough of them for a passage of PASSAGE tokens,
 and the values in matched slots are consistent: equal values in the item stand for equal values in the document and
@@ -28,12 +29,19 @@ UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|l|ml|s|sec|min|h|hr|hours|minutes|seconds|
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
 NUMBER_PATTERN = r"[0-9]+(?:[.,:/][0-9]+)*"
 NAME_PATTERN = r"(?<=[\p{Ll}\p{Nd},;:]['\x22)]?\x20)\p{Lu}[\p{L}\p{M}]+"
+#: Words that begin sentences and are no names (fixed list).
+COMMON = "the|an|this|that|these|those|there|here|it|its|he|she|they|we|you|his|her|their|our|your|my|in|on|at|by|for|from|to|of|with|without|as|if|when|while|after|before|during|since|until|because|although|and|or|but|so|then|now|next|later|finally|first|second|how|what|which|who|whom|whose|where|why|is|are|was|were|be|do|does|did|has|have|had|can|could|will|would|should|may|might|must|not|no|yes|each|every|all|both|some|any|most|many|much|more|one|two|three|let|find|given|suppose|calculate|compute|determine|write|give|use|please|der|die|das|ein|eine|und|wie|was|wer|wenn|le|la|les|un|une|et|il|elle|el|los|las|una|por|que|como|si"
+ANY_NAME_PATTERN = rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}])(?!(?i:{COMMON})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{L}}\p{{M}}]+"
+LITERAL = 3  # tokens of a window of the second template that are no placeholders, at least
 TOKEN_PATTERN = r"[\p{L}\p{M}]+|[\x01\x02\x03]"
 
 
-def template(text: Column) -> Column:
-    """The template of a text as an array of tokens."""
+def template(text: Column, anywhere: bool = False) -> Column:
+    """The template of a text as an array of tokens. anywhere: names may also begin texts, sentences, lines and quotations;
+    both templates have their tokens at the same places."""
     named = F.regexp_replace(text, NAME_PATTERN, NAME)
+    if anywhere:
+        named = F.regexp_replace(named, ANY_NAME_PATTERN, NAME)
     numbered = F.regexp_replace(named, NUMBER_PATTERN, f" {NUMBER} ")
     united = F.regexp_replace(F.lower(numbered), f"(?<={NUMBER} ) ?(?:{UNITS})(?![\\p{{L}}\\p{{M}}])", UNIT)
     return F.regexp_extract_all(united, F.lit(TOKEN_PATTERN), F.lit(0))
@@ -45,22 +53,27 @@ def values(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(marked), F.lit(rf"{NUMBER_PATTERN}|[\p{{L}}\p{{M}}]+"), F.lit(0))
 
 
-def windows(rows: DataFrame, keys: list[str], tokens: str, width: int) -> DataFrame:
-    """keys, at, h: the hash of each window of width tokens, with the place of its first token."""
-    t = F.col(tokens)
-    zipped = F.arrays_zip(*[F.slice(t, F.lit(1 + i), F.greatest(F.size(t) - (width - 1), F.lit(0))).alias(f"w{i}") for i in range(width)])
-    return rows.select(*keys, F.posexplode(zipped).alias("at", "w")).select(*keys, "at", F.xxhash64(*[F.col(f"w.w{i}") for i in range(width)]).alias("h"))
+def windows(rows: DataFrame, keys: list[str], tokens: str, more: str, width: int) -> DataFrame:
+    """keys, at, h: the hash of each window of width tokens, with the place of its first token; where the second template,
+    `more`, differs there and has LITERAL tokens that are no placeholders, its hash too."""
+    cut = lambda t, i: F.slice(t, F.lit(1 + i), F.greatest(F.size(t) - (width - 1), F.lit(0)))
+    zipped = F.arrays_zip(*[cut(F.col(c), i).alias(f"{a}{i}") for a, c in (("w", tokens), ("v", more)) for i in range(width)])
+    found = rows.select(*keys, F.posexplode(zipped).alias("at", "w"))
+    literal = sum((F.when(F.col(f"w.v{i}").isin(NUMBER, NAME, UNIT), 0).otherwise(1) for i in range(width)), F.lit(0))
+    found = found.select(*keys, "at", *[F.xxhash64(*[F.col(f"w.{a}{i}") for i in range(width)]).alias(a) for a in "wv"], (literal >= LITERAL).alias("plain"))
+    both = F.when((F.col("w") != F.col("v")) & F.col("plain"), F.array("w", "v")).otherwise(F.array("w"))
+    return found.select(*keys, "at", F.explode(both).alias("h"))
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
-    """item, members, tokens, n (windows), width: one row for all items of one template and pattern of equal slots."""
+    """item, members, tokens, more, n (windows), width: one row for all items of one template and pattern of equal slots."""
     b = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
-    b = b.select("item", template(F.col("text")).alias("tokens"), values(F.col("text")).alias("vals")).where(F.size("tokens") >= SHORTEST)
-    slot = F.col("tokens")
+    b = b.select("item", template(F.col("text")).alias("tokens"), template(F.col("text"), True).alias("more"), values(F.col("text")).alias("vals")).where(F.size("tokens") >= SHORTEST)
+    slot = F.col("more")
     pattern = F.transform("vals", lambda v, i: F.when(F.element_at(slot, i + 1).isin(NUMBER, NAME, UNIT), F.array_position("vals", v)))
     b = b.withColumn("pattern", pattern)
-    b = b.groupBy("tokens", "pattern").agg(F.min_by(F.struct("item", "vals"), "item").alias("f"), F.sort_array(F.collect_set("item")).alias("members"))
-    return b.select(F.col("f.item").alias("item"), F.col("f.vals").alias("vals"), "members", "tokens", F.least(F.size("tokens"), F.lit(width)).alias("width")).withColumn("n", F.size("tokens") - F.col("width") + 1)
+    b = b.groupBy("tokens", "more", "pattern").agg(F.min_by(F.struct("item", "vals"), "item").alias("f"), F.sort_array(F.collect_set("item")).alias("members"))
+    return b.select(F.col("f.item").alias("item"), F.col("f.vals").alias("vals"), "members", "tokens", "more", F.least(F.size("tokens"), F.lit(width)).alias("width")).withColumn("n", F.size("tokens") - F.col("width") + 1)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, coverage: float = COVERAGE, passage: int = PASSAGE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -73,14 +86,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     items = written(_items(benchmark, item_col, item_text_col, width), "items")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    tokens = slim.select("id", "text_hash", template(F.col("text")).alias("tokens"))
+    tokens = slim.select("id", "text_hash", template(F.col("text")).alias("tokens"), template(F.col("text"), True).alias("more"))
     hits = []
     for w in widths or [width]:
-        own = windows(items.where(F.col("width") == w), ["item"], "tokens", w)
-        own = written(own.select("h", "item", F.col("at").alias("item_at")), "windows")
+        own = windows(items.where(F.col("width") == w), ["item"], "tokens", "more", w)
+        own = written(own.select("h", "item", F.col("at").alias("item_at")).distinct(), "windows")
         distinct = own.select("h").distinct()
         few = own.count() <= most_broadcast
-        found = windows(tokens, ["id", "text_hash"], "tokens", w)
+        found = windows(tokens, ["id", "text_hash"], "tokens", "more", w)
         found = found.join(F.broadcast(distinct) if few else distinct, "h", "left_semi")
         hits.append(found.join(F.broadcast(own) if few else own, "h").select("id", "text_hash", "item", "at", "item_at"))
     hits = written(reduce(DataFrame.unionByName, hits).distinct(), "hits")
@@ -94,7 +107,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     near = hits.alias("h").join(per.select("id", "text_hash", "item").alias("p"), key("h", "p") & (F.col("h.item") == F.col("p.item")), "left_semi")
     length = items.select("item", "width")
     spots = near.join(length, "item").select("id", "text_hash", "item", (F.col("at") - F.col("item_at")).alias("shift"), F.explode(F.sequence(F.col("item_at"), F.col("item_at") + F.col("width") - 1)).alias("spot")).distinct()
-    slots = items.select("item", F.posexplode(F.arrays_zip("tokens", "vals")).alias("spot", "x")).select("item", "spot", F.col("x.tokens").alias("kind"), F.col("x.vals").alias("item_value")).where(F.col("kind").isin(NUMBER, NAME, UNIT))
+    slots = items.select("item", F.posexplode(F.arrays_zip("more", "vals")).alias("spot", "x")).select("item", "spot", F.col("x.more").alias("kind"), F.col("x.vals").alias("item_value")).where(F.col("kind").isin(NUMBER, NAME, UNIT))
     spots = written(spots.join(slots, ["item", "spot"]).withColumn("at", F.col("spot") + F.col("shift")), "slots")
     asked = spots.select("id", "text_hash").distinct()
     texts = slim.alias("d").join(asked.alias("a"), key("d", "a"), "left_semi").dropDuplicates(["id", "text_hash"])

@@ -439,3 +439,18 @@ def test_decontamination(spark, docs, odd, empty):
     assert decontamination.find_contamination(df, bench.limit(0)).count() == 0
     same = decontamination.drop_contaminated(docs, bench)
     assert same.columns == docs.columns and same.count() == docs.count()
+
+
+def test_decontamination_of_names_that_begin_sentences(spark):
+    bench = spark.createDataFrame([
+        (1, "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"),
+        (2, "Tom had 12 marbles. Sam gave him 5 more. Tom then lost 3. Sam found 2 of them in the garden."),
+    ], "item_id long, text string")
+    df = spark.createDataFrame([
+        (1, "Mia has 7 apples. Mia buys 4 more. How many apples does Mia have?"),
+        (2, "so it went\nLeo had 14 marbles.  Ann gave him 6 more. Leo then lost 4. Ann found 3 of them in the garden."),
+        (3, "Mia has 7 apples. Eve buys 4 more. How many apples does Zoe have?"),
+        (4, "we know that tom has 5 apples. tom buys 3 more. how many apples does Tom have?"),
+    ], "doc_id long, text string")
+    got = {r["id"]: r["item_ids"] for r in decontamination.find_contamination(df, bench).collect()}
+    assert got == {1: [1], 2: [2], 4: [1]}
