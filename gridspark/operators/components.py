@@ -16,26 +16,28 @@ def reading(formulas: DataFrame, ranges: DataFrame) -> DataFrame:
     return r.join(f, on).select(F.col("id").alias("reader"), "source")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component): component is the smallest id that can be reached. Each round takes the least label of the neighbours
-    and then the label of that label, so long chains shorten fast; every few rounds the lineage is cut by a checkpoint."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): component is the smallest id that can be reached. Large-star and small-star steps alternate until the
+    edges are stars around the smallest ids, so chains in any order take few rounds; each round ends in a checkpoint."""
     spark = nodes.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridspark-"))
-    both = edges.toDF("a", "b").union(edges.toDF("b", "a").select("a", "b")).distinct().checkpoint()
-    label = nodes.select("id", F.col("id").alias("component")).checkpoint()
-    for _ in range(rounds):
-        seen = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("m"))
-        new = label.join(seen, F.col("id") == F.col("a"), "left").select("id", F.least("component", "m").alias("component"))
-        jump = new.select(F.col("id").alias("j"), F.col("component").alias("up"))
-        new = new.join(jump, F.col("component") == F.col("j"), "left").select("id", F.least("component", "up").alias("component")).checkpoint()
-        moved = new.join(label.withColumnsRenamed({"id": "i2", "component": "c2"}), F.col("id") == F.col("i2")).where("component != c2").limit(1).count()
-        label = new
-        if not moved:
+    pairs = edges.toDF("a", "b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct().checkpoint()
+    before = None
+    while True:
+        both = pairs.union(pairs.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        pairs = small.union(least.select("a", "m")).distinct().checkpoint()
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
             break
-    return label
+        before = now
+    return nodes.join(pairs, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("component"))
 
 
 def extents(cells: DataFrame) -> DataFrame:

@@ -132,3 +132,17 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1500
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_components_of_long_chains_in_no_order(spark):
+    import random
+
+    from gridspark.operators.components import components
+
+    ids = list(range(600))
+    random.Random(5).shuffle(ids)
+    chains = [ids[:400], ids[400:599]]
+    edges = [(x, y) if k % 2 else (y, x) for c in chains for k, (x, y) in enumerate(zip(c, c[1:], strict=False))]
+    nodes = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = {r["id"]: r["component"] for r in components(nodes, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: min(c) for c in [*chains, ids[599:]] for i in c}
