@@ -5,8 +5,8 @@ after numbers are typed placeholders. A second template also takes capitalised w
 common; a window counts if it matches in either. Windows of WINDOW tokens are hashed on both sides and joined. The benchmark's side is
 broadcast where a count shows that it has MOST_BROADCAST windows at most; beyond that both sides are shuffled. A document
 is contaminated by an item if it holds half of the item's windows, or enough of them for a passage of PASSAGE tokens,
-and the values in matched slots are consistent: equal values in the item stand for equal values in the document and
-different ones for different ones.
+and the values in matched slots are consistent: equal values in the item stand for equal values in the document.
+Different ones may coincide there.
 """
 
 from __future__ import annotations
@@ -114,8 +114,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     texts = texts.select("id", "text_hash", F.posexplode(values(F.col("text"))).alias("at", "value"))
     pairs = spots.alias("s").join(texts.alias("t"), key("s", "t") & (F.col("s.at") == F.col("t.at"))).select("s.id", "s.text_hash", "s.item", "s.shift", "s.kind", "s.item_value", "t.value")
     by = ["id", "text_hash", "item", "shift", "kind"]
-    odd = pairs.groupBy(*by).agg(F.countDistinct("item_value", "value").alias("p"), F.countDistinct("item_value").alias("i"), F.countDistinct("value").alias("v"))
-    odd = odd.groupBy("id", "text_hash", "item", "shift").agg(F.max(((F.col("p") != F.col("i")) | (F.col("p") != F.col("v"))).cast("int")).alias("bad")).groupBy("id", "text_hash", "item").agg(F.min("bad").alias("bad")).where("bad = 1")
+    odd = pairs.groupBy(*by).agg(F.countDistinct("item_value", "value").alias("p"), F.countDistinct("item_value").alias("i"))
+    odd = odd.groupBy("id", "text_hash", "item", "shift").agg(F.max((F.col("p") != F.col("i")).cast("int")).alias("bad")).groupBy("id", "text_hash", "item").agg(F.min("bad").alias("bad")).where("bad = 1")
     per = per.alias("p").join(odd.alias("o"), key("p", "o") & (F.col("p.item") == F.col("o.item")), "left_anti")
     return per.groupBy("id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("item_ids"), F.max("share").alias("coverage"))
 

@@ -454,3 +454,9 @@ def test_decontamination_of_names_that_begin_sentences(spark):
     ], "doc_id long, text string")
     got = {r["id"]: r["item_ids"] for r in decontamination.find_contamination(df, bench).collect()}
     assert got == {1: [1], 2: [2], 4: [1]}
+
+
+def test_decontamination_of_numbers_that_coincide(spark):
+    bench = spark.createDataFrame([(1, "a boy has 5 apples and then buys 3 more so how many of the 5 apples are left")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "a boy has 4 apples and then buys 4 more so how many of the 4 apples are left"), (2, "a boy has 4 apples and then buys 4 more so how many of the 6 apples are left")], "doc_id long, text string")
+    assert [r["id"] for r in decontamination.find_contamination(df, bench).collect()] == [1]
