@@ -28,7 +28,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NUMBERS = re.compile(r"[+(]?[0-9][0-9 ().+-]{5,}[0-9]")
 HIDDEN = re.compile(r"[A-Za-z0-9._%+-]+(?: ?\[at\] ?| ?\(at\) ?| at )[A-Za-z0-9-]+(?:(?: ?\[dot\] ?| ?\(dot\) ?| dot |\.)[A-Za-z0-9-]+){1,5}", re.I)
-MARK = re.compile(r"\[at\]|\(at\)|[\[( ]dot[\]) ]", re.I)
+MARK = re.compile(r"\[at\]|\(at\)| at [A-Za-z0-9-]+(?: ?[\[(]dot[\])]| dot |\.)", re.I)  # in all that HIDDEN matches
 DIGIT = re.compile("[0-9]")
 
 

@@ -460,3 +460,11 @@ def test_decontamination_of_numbers_that_coincide(spark):
     bench = spark.createDataFrame([(1, "a boy has 5 apples and then buys 3 more so how many of the 5 apples are left")], "item_id long, text string")
     df = spark.createDataFrame([(1, "a boy has 4 apples and then buys 4 more so how many of the 4 apples are left"), (2, "a boy has 4 apples and then buys 4 more so how many of the 6 apples are left")], "doc_id long, text string")
     assert [r["id"] for r in decontamination.find_contamination(df, bench).collect()] == [1]
+
+
+def test_written_out_addresses_need_no_mark_elsewhere():
+    text = "write to john.smith at example.com today"
+    want = [text[s:e] for s, e in pii.regions(text + " [at]")]
+    assert want == ["john.smith at example.com"] and [text[s:e] for s, e in pii.regions(text)] == want
+    for hidden in ("a at b.c", "a AT b dot c", "a at b [dot] c", "a at b(dot)c", "a [at] b.c", "a(at)b.c"):
+        assert list(pii.regions(hidden)) == [(0, len(hidden))]
