@@ -1,6 +1,6 @@
 """Secret scans (operator 4, native): candidates, and a random forest that removes the false ones.
 
-Every word with a run of CANDIDATE characters is a candidate. Its features are its length, the transitions between kinds
+Every run of CANDIDATE characters is a candidate, and every value assigned to a secret word. Its features are its length, the transitions between kinds
 of characters and between vowels and others, how much of it a dictionary covers, its shape, the path or source of its
 document and the words beside it. A random forest trained on labelled findings gives the probability that it is a secret.
 Candidates, features and forest run as DataFrame expressions and JVM model code; nothing is shuffled.
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATE = r"[A-Za-z0-9+/_=.~-]{12,}"
+GAP, EDGE = "\ufdd0", "\ufdd1"  # no characters of texts: a blank within a value, the ends of a run
 TREES, DEPTH, SEED = 24, 7, 11
 
 #: Frequent words that names and identifiers are made of (fixed list).
@@ -31,18 +32,51 @@ PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abps]-|sk_live_|rk_l
 FEATURES = ["length", "digits", "uppers", "lowers", "others", "turns", "digit_turns", "vowel_turns", "distinct", "covered", "hex", "uuid", "dotted", "number", "prefix", "repeats", "assigned", "quoted", "secret_word", "harmless_word", "odd_path", "placeholder"]
 
 
+def _values(text: Column) -> Column:
+    """Quoted values beside secret words are made one word: GAP stands for their blanks."""
+    for quote in ("\x22", "'"):
+        rest = rf"[^{quote}\n]{{0,1000}}{quote}"
+        opened = rf"(?i:{SECRET_WORDS})[\x22'\]]{{0,2}}\x20?(?::=|=>|[:=])\x20?{quote}(?={rest})"
+        blank = rf"((?:{opened}|(?!\A)\G)[^{quote}\n\x20]*)\x20(?={rest})"
+        text = F.when(text.rlike(opened), F.regexp_replace(text, blank, f"$1{GAP}")).otherwise(text)
+    return text
+
+
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """(id, path, place, before, word, after, candidate): each word that holds a candidate, place is its number in the text."""
-    words = F.array_remove(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), "")
+    """(id, path, place, run, before, word, after, candidate): each run of CANDIDATE characters, and the whole value that is
+    assigned to a secret word, whatever its length and characters. place is the number of its word in the text, run its
+    number in the word."""
+    words = F.array_remove(F.split(_values(F.col(text_col)), r"[\x20\x09-\x0D]+"), "")
+    # a value of several words keeps the places of later ones
+    filled = F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.array_repeat(F.lit(GAP), F.regexp_count(w, F.lit(f"{GAP}+"))))))
+    words = F.when(F.col(text_col).isNull(), F.lit(None)).when(_values(F.col(text_col)).contains(GAP), filled).otherwise(words)
     shifted = lambda k: F.concat(*[F.array(F.lit(""))] * k, F.slice(words, F.lit(1), F.greatest(F.size(words) - k, F.lit(0))))
     zipped = F.arrays_zip(words.alias("word"), shifted(1).alias("b1"), shifted(2).alias("b2"), F.slice(words, F.lit(2), F.size(words)).alias("after"))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    rows = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.posexplode(zipped).alias("place", "w")).where(F.col("w.word").rlike(CANDIDATE))
-    found = F.regexp_extract("w.word", f"({CANDIDATE})", 1)
+    rows = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.posexplode(zipped).alias("place", "w"))
+    # an assignment that the words before begin: name and sign, or the name alone where this word begins with the sign
+    secret = rf"(?i:{SECRET_WORDS})[\x22'\]]{{0,2}}"
+    begun = F.concat_ws(" ", "w.b2", "w.b1").rlike(rf"{secret}\x20?(?::=|=>|[:=])$") | F.col("w.b1").rlike(f"{secret}$") & F.col("w.word").rlike("^(?::=|=>|[:=]).")
+    value = r"(?:\x22[^\x22]+|'[^']+|(?:(?![&,;][\w.\x22'-]+[=:])[^\s\x22'<>])+)"
+    inside = rf"[A-Za-z0-9+/_=.~-]{{0,40}}?{secret}(?::=|=>|[:=]){value}"
+    rows = rows.withColumn("begun", begun).where(F.col("w.word").rlike(f"{CANDIDATE}|{inside}") | F.col("begun") & F.col("w.word").rlike("[A-Za-z0-9]"))
+    runs = F.regexp_replace("w.word", f"{inside}|{CANDIDATE}", f"{EDGE}$0{EDGE}")
+    led = F.regexp_replace(F.regexp_replace("w.word", rf"^((?::=|=>|[:=])?)({value})", f"$1{EDGE}$2{EDGE}"), rf"({EDGE}[^{EDGE}]*{EDGE})|({inside}|{CANDIDATE})", f"$1{EDGE}$2{EDGE}")
+    led = F.regexp_replace(led, rf"({EDGE}[^{EDGE}]+{EDGE}){EDGE}{EDGE}", "$1")
+    parts = F.split(F.when(F.col("begun"), led).otherwise(runs), EDGE)
+    each = F.transform(parts, lambda x, i: F.struct(x.alias("found"), F.when(i == 1, F.concat_ws(" ", "w.b2", "w.b1", F.element_at(parts, 1))).when(i > 1, F.concat(F.get(parts, i - 2), F.get(parts, i - 1))).otherwise("").alias("near"), i.alias("i")))
+    rows = rows.select("id", "path", "place", "w", "begun", F.explode(F.filter(each, lambda x: x["i"] % 2 == 1)).alias("x"))
     # an assignment without blanks (key=value) leaves its name with the words before
-    core = F.when(F.regexp_extract(found, r"^[A-Za-z_.-]{2,40}=+(.{12,})$", 1) != "", F.regexp_extract(found, r"^[A-Za-z_.-]{2,40}=+(.{12,})$", 1)).otherwise(found)
-    rows = rows.select("id", "path", "place", F.concat_ws(" ", "w.b2", "w.b1", F.split_part("w.word", core, F.lit(1))).alias("before"), F.col("w.word").alias("word"), F.coalesce("w.after", F.lit("")).alias("after"), core.alias("candidate"))
-    return rows.where(F.col("candidate").rlike("[0-9]") | (F.length("candidate") >= 20) & F.col("candidate").rlike("[A-Z].*[a-z]|[a-z].*[A-Z]|[+/_=]"))
+    found, lead = F.col("x.found"), rf"^[A-Za-z0-9+/_=.~-]{{0,40}}?{secret}(?::=|=>|[:=])(?={value}$)"
+    first = F.col("begun") & (F.col("x.i") == 1)
+    name = F.when(first, F.lit("")).when(found.rlike(lead), F.regexp_extract(found, lead, 0)).otherwise(F.regexp_extract(found, r"^([A-Za-z_.-]{2,40}=+).{12,}$", 1))
+    given = first | found.rlike(lead)
+    core = F.translate(F.substring(found, F.length(name) + 1, F.length(found)), GAP, " ")
+    core = F.when(given, F.regexp_replace(core, r"^[\x22']|(?<=[^\s])[,;)}\]]+$", "")).otherwise(core)
+    before = F.concat(F.col("x.near"), name, F.when(given & F.col("w.word").rlike("[\x22']"), F.lit("\x22")).otherwise(""))
+    rows = rows.select("id", "path", "place", ((F.col("x.i") - 1) / 2).cast("int").alias("run"), before.alias("before"), F.translate("w.word", GAP, " ").alias("word"), F.coalesce("w.after", F.lit("")).alias("after"), core.alias("candidate"), given.alias("given"))
+    long = F.col("candidate").rlike("[0-9]") | (F.length("candidate") >= 20) & F.col("candidate").rlike("[A-Z].*[a-z]|[a-z].*[A-Z]|[+/_=]")
+    return rows.where(F.when(F.col("given"), F.col("candidate").rlike("[^\x00-\x2F]")).otherwise(long)).drop("given")
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -114,15 +148,15 @@ def _vector(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
-    """One row per candidate of docs: id, place (number of its word, from 0), candidate, score (0 to 1), is_secret.
+    """One row per candidate of docs: id, place (number of its word, from 0), run (its number in the word, from 0), candidate, score (0 to 1), is_secret.
 
     Null and empty texts have no candidates, a null path is an empty one, ids may be null or repeat (each row is scanned),
     an empty table gives no rows, other columns are not read."""
     found = _vector(features(candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col)))
-    scored = model.transform(found.select("id", "place", "candidate", "x")).select("id", "place", "candidate", vector_to_array("probability")[1].alias("score"))
-    return scored.select(F.col("id").alias(id_col), "place", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))
+    scored = model.transform(found.select("id", "place", "run", "candidate", "x")).select("id", "place", "run", "candidate", vector_to_array("probability")[1].alias("score"))
+    return scored.select(F.col("id").alias(id_col), "place", "run", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(spark))
-    return found.select("doc_id", "place", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+    return found.select("doc_id", "place", "run", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")

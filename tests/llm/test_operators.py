@@ -468,3 +468,17 @@ def test_written_out_addresses_need_no_mark_elsewhere():
     assert want == ["john.smith at example.com"] and [text[s:e] for s, e in pii.regions(text)] == want
     for hidden in ("a at b.c", "a AT b dot c", "a at b [dot] c", "a at b(dot)c", "a [at] b.c", "a(at)b.c"):
         assert list(pii.regions(hidden)) == [(0, len(hidden))]
+
+
+def test_secrets_all_runs_of_a_word_and_all_assigned_values(spark):
+    texts = [
+        '{"client_id":"abcdef1234567","client_secret":"ghp_a1B2c3D4e5F6g7H8"}', 'x password = "hunter2x9" end', 'pwd: "Tr0ub4dor&3"', 'password = "correct horse battery staple" then 0123456789abcdef',
+        "a?id=abcdef1234567&token=zz9&page=2", "password=hunter2",
+    ]
+    df = spark.createDataFrame([(k, x, "web") for k, x in enumerate(texts)], "doc_id long, text string, source string")
+    got = sorted((r["id"], r["place"], r["run"], r["candidate"]) for r in secret_scan.candidates(df).collect())
+    assert [(i, p, c) for i, p, _, c in got] == [
+        (0, 0, "abcdef1234567"), (0, 0, "ghp_a1B2c3D4e5F6g7H8"), (1, 3, "hunter2x9"), (2, 1, "Tr0ub4dor&3"), (3, 2, "correct horse battery staple"), (3, 7, "0123456789abcdef"),
+        (4, 0, "abcdef1234567"), (4, 0, "zz9"), (5, 0, "hunter2"),
+    ]
+    assert len({x[:3] for x in got}) == len(got)
