@@ -1,7 +1,8 @@
 """Encoding whole texts with a `tokenizers` file, with a bounded memo of pre-tokens.
 
 A pre-token's ids do not depend on its neighbours, so a text's ids are those of its pre-tokens in a row. In
-running text nearly every pre-token has been seen before; only new ones go through the library, many in one call.
+running text nearly every pre-token has been seen before: it is interned as a number, and the ids of a whole batch are
+gathered from one array by those numbers. Only new pre-tokens go through the library's model.
 The short cut is taken for texts of ASCII and Latin-1 letters, where Python's `re` cuts as the library's own
 pattern does. All other texts, and all unknown kinds of vocabulary file, go through the library whole, in segments
 cut at boundaries that no pre-token, normaliser or special token crosses.
@@ -9,19 +10,21 @@ cut at boundaries that no pre-token, normaliser or special token crosses.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 
 L = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: The contractions that the pre-tokenizers of both kinds of file cut off (fixed values of the vocabulary files).
 SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
-#: A text with one of these goes through the library whole.
-ODD = re.compile(rf"[^\t\n\r\x20-\x7e{L}]|<\|")
-MEMO = 1_000_000  # pre-tokens kept by a worker, about 200 bytes each
+#: The bytes, in Latin-1, of texts that take the short cut; all others go through the library whole.
+PLAIN = bytes(c for c in range(256) if c in b"\t\n\r" or 32 <= c < 127 or c >= 192 and c not in (215, 247))
+MEMO = 1_000_000  # pre-tokens kept by a worker, about 200 bytes each; a batch adds its own
 SEGMENT = 1 << 18  # characters encoded at a time
 
 #: A single blank between other characters: no pre-token starts before and ends after it.
@@ -42,6 +45,27 @@ def segments(text: str, most: int = SEGMENT) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others in
+    ascending order for the letters from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [c for c in range(256) if c not in shown]
+    return [chr(c) if c in shown else chr(256 + hidden.index(c)) for c in range(256)]
+
+
+class Memo(dict):
+    """Numbers of pre-tokens in the order in which they are first asked for; `new` has those not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """Ids or counts of whole texts, as `Tokenizer.encode(text, add_special_tokens=False)` gives them."""
 
@@ -55,82 +79,97 @@ class Encoder:
         spec = json.load(open(path, encoding="utf-8"))
         self.kind = kind_of(spec)
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.ids: dict[str, bytes] = {}
-        self.counts: dict[str, int] = {}
+        self.letters = dict(enumerate(byte_letters()))
         if self.kind == "bytes":
-            self.cut = re.compile(rf"{SHORT}| ?[{L}]+| ?[0-9]+| ?[^\s0-9{L}]+|\s+(?!\S)|\s+").findall
-            self.mark, self.mark_id = "\n", self.library.encode("\n", add_special_tokens=False).ids
-            self.joins = re.compile(r" ?\S+").fullmatch
+            self.cut = re.compile(rf" ?[{L}]+| ?[0-9]+|{SHORT}| ?[^\s0-9{L}]+|\s+(?!\S)|\s+").findall
         elif self.kind == "words":
-            self.cut = re.compile(rf"{SHORT}|[{L}]+|[0-9]|[^\s0-9{L}]+").findall
-            self.mark, self.mark_id = " 0 ", self.library.encode("0", add_special_tokens=False).ids
-            self.joins = re.compile(rf"[{L}]+").fullmatch
-        if self.kind and len(self.mark_id) != 1:
-            self.kind = ""
-
-    def raw(self, text: str) -> list[int]:
-        found: list[int] = []
-        for e in self.library.encode_batch_fast(list(segments(text)), add_special_tokens=False):
-            found += e.ids
-        return found
+            self.cut = re.compile(rf"[{L}]+|[0-9]|{SHORT}|[^\s0-9{L}]+").findall
+        self.forget()
+
+    def forget(self) -> None:
+        """The memo, and the ids of its pre-tokens side by side: number n has length[n] of them from start[n]."""
+        self.memo, self.known, self.held = Memo(), 0, 0
+        self.ids, self.start, self.length = np.zeros(1 << 16, self.width), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """By the library alone."""
+        return [np.array(e.ids, dtype=self.width) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str] | None:
         """The pre-tokens, None if the text has to go through the library whole."""
-        if not self.kind or ODD.search(text):
+        if not self.kind or "<|" in text:
+            return None
+        try:
+            if text.encode("latin-1").translate(None, PLAIN):
+                return None
+        except UnicodeEncodeError:
             return None
         return self.cut(text.lower() if self.kind == "words" else text)
 
-    def learn(self, new: list[str]) -> Iterator[tuple[str, np.ndarray]]:
-        """Ids of pre-tokens: those that can stand side by side in one text, divided by a mark; the others in a batch."""
-        side = [p for p in new if self.joins(p) and self.mark not in p]
-        if side:
-            ids = np.array(self.library.encode(self.mark.join(side), add_special_tokens=False).ids, dtype=self.width)
-            cuts = np.flatnonzero(ids == self.mark_id[0])
-            if len(cuts) == len(side) - 1:
-                starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-                yield from ((p, ids[i:j]) for p, i, j in zip(side, starts, ends, strict=True))
-            else:  # some piece makes the mark's id itself
-                side = []
-        done = set(side)
-        rest = [p for p in new if p not in done]
-        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            yield p, np.array(e.ids, dtype=self.width)
-
-    def _fill(self, memo: dict, parts: list[list[str] | None], value) -> None:
-        new: set[str] = set()
-        for p in parts:
-            if p:
-                new.update(p)
-        if len(memo) > MEMO:  # what this batch has again stays
-            stay = {p: memo[p] for p in new if p in memo}
-            memo.clear()
-            memo.update(stay)
-        if new := new.difference(memo):
-            for piece, ids in self.learn(list(new)):
-                memo[piece] = value(ids)
+    def learn(self) -> None:
+        """Encodes the memo's new pre-tokens by the library's model, which is given the letters of their bytes."""
+        new, model = self.memo.new, self.library.model
+        collects = gc.isenabled()
+        gc.disable()  # the tokens are many, short-lived and without cycles
+        try:
+            found = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(self.letters))] for p in new]
+        finally:
+            if collects:
+                gc.enable()
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), self.width, int(sizes.sum()))
+        n, held = self.known + len(new), self.held + len(flat)
+        self.ids = grown(self.ids, held)
+        self.start, self.length = grown(self.start, n), grown(self.length, n)
+        self.ids[self.held : held] = flat
+        self.start[self.known : n] = self.held + np.cumsum(sizes) - sizes
+        self.length[self.known : n] = sizes
+        self.known, self.held, self.memo.new = n, held, []
+
+    def numbered(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all pieces of the parts, all of them learned, and how many each part has."""
+        if len(self.memo) > MEMO:
+            self.forget()
+        get = self.memo.__getitem__
+        sizes = np.array([len(p) for p in parts], np.int64)
+        numbers = np.fromiter(map(get, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        if self.memo.new:
+            self.learn()
+        return numbers, sizes
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts, together a batch of bounded bytes."""
+        owner = [(k, s) for k, t in enumerate(texts) for s in segments(t)]
+        parts = [self.pieces(s) for _, s in owner]
+        numbers, sizes = self.numbered([p or [] for p in parts])
+        length = self.length[numbers]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.arange(total) + np.repeat(self.start[numbers] - ends + length, length)]
+        cuts = np.concatenate([[0], ends])[np.cumsum(sizes)]
+        each = [ids[i:j] for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False)]
+        if odd := [n for n, p in enumerate(parts) if p is None]:
+            for n, x in zip(odd, self.whole([owner[n][1] for n in odd]), strict=True):
+                each[n] = x
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for (k, _), x in zip(owner, each, strict=True):
+            out[k].append(x)
+        return [xs[0] if len(xs) == 1 else np.concatenate(xs) for xs in out]
 
     def count_many(self, texts: list[str]) -> list[int]:
         """Token counts of texts, together a batch of bounded bytes."""
-        cut = [[*segments(t)] for t in texts]
-        flat = [s for c in cut for s in c]
-        parts = [self.pieces(s) for s in flat]
-        self._fill(self.counts, parts, len)
-        get = self.counts.__getitem__
-        odd = iter(self.library.encode_batch_fast([s for s, p in zip(flat, parts, strict=True) if p is None], add_special_tokens=False))
-        each = iter([len(next(odd)) if p is None else sum(map(get, p)) for p in parts])
-        return [sum(next(each) for _ in c) for c in cut]
+        owner = [(k, s) for k, t in enumerate(texts) for s in segments(t)]
+        parts = [self.pieces(s) for _, s in owner]
+        numbers, sizes = self.numbered([p or [] for p in parts])
+        each = np.diff(np.concatenate([[0], np.cumsum(self.length[numbers])])[np.cumsum(sizes)], prepend=0)
+        if odd := [n for n, p in enumerate(parts) if p is None]:
+            each[odd] = [len(x) for x in self.whole([owner[n][1] for n in odd])]
+        return np.bincount([k for k, _ in owner], each, len(texts)).astype(np.int64).tolist()
 
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts, together a batch of bounded bytes."""
-        cut = [[*segments(t)] for t in texts]
-        parts = [[self.pieces(s) for s in c] for c in cut]
-        self._fill(self.ids, [p for ps in parts for p in ps], np.ndarray.tobytes)
-        get = self.ids.__getitem__
-        out = []
-        for c, ps in zip(cut, parts, strict=True):
-            got = [np.array(self.raw(s), dtype=self.width).tobytes() if p is None else b"".join(map(get, p)) for s, p in zip(c, ps, strict=True)]
-            out.append(np.frombuffer(b"".join(got), dtype=self.width))
-        return out
+
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """x with room for n entries."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
 
 def kind_of(spec: dict) -> str:
@@ -158,14 +197,14 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def by_bytes(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive runs [i, j) of texts of about `most` characters together; a longer text stands alone."""
+def by_bytes(sizes: Sequence[int | None], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive runs [i, j) of texts of about `most` bytes together, by the texts' sizes; a longer text stands alone."""
     start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
+    for i, n in enumerate(sizes):
+        n = n or 0
         if i > start and size + n > most:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)

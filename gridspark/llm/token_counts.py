@@ -33,7 +33,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", te
         for b in batches:
             texts = b.column(1).to_pylist()
             n: list[int] = []
-            for i, j in by_bytes(texts, batch_bytes):
+            for i, j in by_bytes(b.column(2).to_pylist(), batch_bytes):
                 n += enc.count_many([t or "" for t in texts[i:j]])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from gridspark.llm._common import bounds, bucket_of, field, new_path, partitions
 
 SEGMENT_IDS = 1 << 21
-BATCH_CHARS = 2 << 20
+BATCH_BYTES = 2 << 20
 TAIL = [("lengths", T.ArrayType(T.LongType())), ("n_ids", T.LongType()), ("freqs", T.BinaryType()), ("blocks", T.BinaryType()), ("words", T.BinaryType()), ("crc", T.LongType())]
 
 
@@ -51,7 +52,7 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, *, end_id: int = 0
         for b in batches:
             kinds = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("ids", pa.list_(b.schema.field(1).type)), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("freqs", pa.binary()), ("blocks", pa.binary()), ("words", pa.binary()), ("crc", pa.int64())])
             at, keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for i, j in by_bytes(texts, BATCH_CHARS):
+            for i, j in by_bytes(pc.binary_length(b.column(2)).to_pylist(), BATCH_BYTES):
                 for s, k, found in zip(at[i:j], keys[i:j], enc.encode_many([t or "" for t in texts[i:j]]), strict=True):
                     if parts and (s != shard or held + len(found) + 1 > segment_ids):
                         yield record()

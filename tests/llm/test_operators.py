@@ -44,6 +44,23 @@ def test_segments_and_small_memo(path, texts, monkeypatch):
     assert [x.tolist() for x in enc.encode_many(some)] == want
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_pieces_are_the_librarys(path):
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng, enc, lib = random.Random(5), _vocab.Encoder(path), Tokenizer.from_file(path)
+    signs = [*" \n\t\r'aAzZéÀßstremvdl09.,!?-_<|>#\"()/", "'s", "'RE", "  ", "×", "ÿ", "\x0b", "\xa0", "中", "İ", "<|endoftext|>", " '", "''s"]
+    some = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    assert [x.tolist() for x in enc.encode_many(some)] == [e.ids for e in lib.encode_batch(some, add_special_tokens=False)]
+
+
+def test_batches_are_balanced_by_bytes():
+    assert list(_vocab.by_bytes([3, None, 4, 9, 1, 1], 8)) == [(0, 3), (3, 4), (4, 6)]
+    assert list(_vocab.by_bytes([], 8)) == []
+
+
 def test_segments_join():
     for t in ("", "a", "a b c d e f", "a  b\n c   d", "x" * 100, "ab " * 50):
         assert "".join(_vocab.segments(t, 4)) == t
