@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,34 +19,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridspark.llm._common import field
-from gridspark.llm.semicrf import KINDS, Field, Region, ip_parts, luhn, plausible, trained
+from gridspark.llm.semicrf import ATS, HINTS, KINDS, Field, Region, ip_parts, last_word, local_start, luhn, plausible, trained
 
 Span = tuple[str, int, int]
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A run of digits that is not followed by three more is followed by none of them from any place inside it.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NUMBERS = re.compile(r"[+(]?[0-9][0-9 ().+-]{5,}[0-9]")
-HIDDEN = re.compile(r"[A-Za-z0-9._%+-]+(?: ?\[at\] ?| ?\(at\) ?| at )[A-Za-z0-9-]+(?:(?: ?\[dot\] ?| ?\(dot\) ?| dot |\.)[A-Za-z0-9-]+){1,5}", re.I)
-MARK = re.compile(r"\[at\]|\(at\)| at [A-Za-z0-9-]+(?: ?[\[(]dot[\])]| dot |\.)", re.I)  # in all that HIDDEN matches
+MARKS = re.compile(r" at |\[at\] ?|\(at\) ?", re.I)
+TAIL = re.compile(r"[A-Za-z0-9-]++(?:(?: ?\[dot\] ?| ?\(dot\) ?| dot |\.)[A-Za-z0-9-]++){1,5}+", re.I)
 DIGIT = re.compile("[0-9]")
 
 
 def emails(text: str) -> Iterator[Span]:
     done, at = 0, text.find("@")
     while at >= 0:
-        back = 64
-        while True:  # the run of local characters that ends here
-            low = max(done, at - back)
-            m = LOCAL.search(text, low, at)
-            if not m or m.start() > low or low == done:
-                break
-            back *= 4
-        d = m and DOMAIN.match(text, at)
+        start = local_start(text, at, done)
+        d = DOMAIN.match(text, at) if start < at else None
         if d:
-            yield "email", m.start(), d.end()
+            yield "email", start, d.end()
             done = d.end()
         at = text.find("@", max(at + 1, done))
 
@@ -69,28 +65,75 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
         for m in NUMBERS.finditer(text):
             if len(DIGIT.findall(m[0])) >= 7:
                 yield m.span()
-    if MARK.search(text):
-        for m in HIDDEN.finditer(text):
-            yield m.span()
+    low = text.lower()
+    if " at " in low or "[at]" in low or "(at)" in low:
+        done = 0
+        for m in MARKS.finditer(text):
+            at = m.start() - (m.start() > done and text[m.start() - 1] == " ")
+            start = local_start(text, at, done)
+            tail = TAIL.match(text, m.end()) if start < at else None
+            if tail:
+                yield start, tail.end()
+                done = tail.end()
 
 
 def all_spans(text: str, base: list[Span], model: Field) -> list[Span]:
-    """The spans of base and those that the model adds."""
-    out = list(base)
-    taken = sorted((s, e) for _, s, e in base)
-    for s, e in regions(text):
-        inside = [x for x in taken if x[0] < e and x[1] > s]
-        if any(x[0] <= s and x[1] >= e for x in inside):
+    """The spans of base and those that the model adds.
+
+    A number is only added where all digits of its region belong to some span, or the word before it names its kind: a
+    piece of a row of numbers is no entity."""
+    out, taken, at = list(base), sorted((s, e) for _, s, e in base), 0
+    longest = max((e - s for s, e in taken), default=0)
+    for s, e in sorted(regions(text)):
+        while at < len(taken) and taken[at][0] < s - longest:
+            at += 1
+        inside = []
+        for x in islice(taken, at, None):
+            if x[0] >= e:
+                break
+            if x[1] > s:
+                inside.append((x[0] - s, x[1] - s))
+        if any(x[0] <= 0 and x[1] >= e - s for x in inside):
+            continue
+        region = Region(text[s:e], last_word(text, s))
+        spans = apart(region.spans(), inside)
+        hinted = lambda kind, a, region=region: HINTS.get(region.hint(a)) == kind
+        address = bool(ATS.search(region.text))
+        if not spans or not address and not any(hinted(k, a) for a, _ in spans for k in KINDS) and not covered(region.text, spans + inside):
             continue
-        word = re.search(r"([A-Za-z]+)[^0-9A-Za-z]*\Z", text[max(0, s - 32) : s])
-        for kind, a, b in model.best(Region(text[s:e], word[1].lower() if word else "")):
-            a, b = a + s, b + s
-            glued = text[a - 1 : a].isalnum() or text[b : b + 1].isalnum() or text[b : b + 1] in ("@", "_")
-            if not glued and plausible(kind, text[a:b]) and not any(x[0] < b and x[1] > a for x in inside):
-                out.append((kind, a, b))
+        got = []
+        for kind, a, b in model.best(region, spans):
+            glued = text[s + a - 1 : s + a].isalnum() and s + a > 0 or text[s + b : s + b + 1].isalnum() or text[s + b : s + b + 1] in ("@", "_")
+            if not glued and plausible(kind, region.text[a:b], hinted(kind, a)):
+                got.append((kind, a, b))
+        if not address and not covered(region.text, [(a, b) for _, a, b in got] + inside):
+            got = [x for x in got if hinted(x[0], x[1])]
+        out += [(kind, a + s, b + s) for kind, a, b in got]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def apart(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of spans that touch none of the others, both in order of their starts."""
+    out, ends = [], [e for _, e in others]
+    reach = list(accumulate(ends, max))
+    starts = [s for s, _ in others]
+    for s, e in spans:
+        k = bisect_left(starts, e)  # those that begin before e
+        if not k or reach[k - 1] <= s:
+            out.append((s, e))
+    return out
+
+
+def covered(text: str, spans: list[tuple[int, int]]) -> bool:
+    """Whether all digits stand in spans."""
+    at = 0
+    for s, e in sorted(spans):
+        if s > at and DIGIT.search(text, at, s):
+            return False
+        at = max(at, e)
+    return not DIGIT.search(text, at)
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 

@@ -1,21 +1,24 @@
-"""A semi-Markov conditional random field over tokens of short regions, trained in numpy on made-up examples.
+"""A semi-Markov conditional random field over tokens of regions, trained in numpy on made-up examples.
 
-A region is cut into segments: single tokens outside, or entities of up to MOST_TOKENS tokens. A candidate segment is
-scored by features of the whole span (digits, grouping, checksum, separators, edges, the word before) for each kind, and by
-the kind of the segment before it. Viterbi over ends and kinds chooses boundaries and kinds together.
+A region is cut into segments: single tokens outside, or entities. A candidate segment is scored by features of the whole
+span (digits, grouping, checksum, separators, edges, the word before) for each kind, and by the kind of the segment before
+it. Viterbi over ends and kinds chooses boundaries and kinds together. Candidates are spans of a bounded number of tokens
+that have the form of an entity; between groups of overlapping ones every token is outside, so each group is decided by
+itself and the work grows with the region's length.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("-", *KINDS)
-MOST_TOKENS = 24
+MOST_TOKENS = 24  # of a number written in groups
+LOOK_BACK = 32  # characters in which the word before a span is looked for
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
 #: Words before or after a span that say what it is (fixed list).
 HINTS = {"phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "card": "card", "visa": "card", "credit": "card", "ip": "ip", "host": "ip", "server": "ip", "email": "email", "mail": "email", "version": "other", "page": "other", "date": "other", "order": "other", "isbn": "other", "id": "other"}
@@ -32,19 +35,59 @@ def luhn(digits: str) -> bool:
 
 def ip_parts(span: str) -> bool:
     parts = span.split(".")
-    return len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p) <= 255 for p in parts)
+    return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts)
 
 
-def plausible(kind: str, span: str) -> bool:
-    """The exact check that follows the model."""
+#: Forms of entities (fixed patterns): card numbers in one run or in usual groups, addresses, numbers with an area code.
+CARD_FORM = r"[0-9]{14,19}|[0-9]{4}(?P<a>[ -])[0-9]{4}(?P=a)[0-9]{4}(?P=a)[0-9]{4}(?:(?P=a)[0-9]{3})?|[0-9]{4}(?P<b>[ -])[0-9]{6}(?P=b)[0-9]{4,5}"
+IP_FORM = r"[0-9]{1,9}(?:\.[0-9]{1,9}){3}"
+AREA_FORM = r"(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}"
+PLUS_FORM = r"\+[0-9](?:[ .-]?\(?[0-9]{1,15}\)?){1,7}"
+LOCAL, HOST = "A-Za-z0-9._%+-", "A-Za-z0-9-"
+AT_FORM, DOT_FORM = r"(?:@| at | ?\[at\] ?| ?\(at\) ?)", r"(?:\.| dot | ?\[dot\] ?| ?\(dot\) ?)"
+
+CARD, IP, AREA, PLUS = (re.compile(x) for x in (CARD_FORM, IP_FORM, AREA_FORM, PLUS_FORM))
+EMAIL = re.compile(rf"[{LOCAL}]++{AT_FORM}[{HOST}]++(?:{DOT_FORM}[{HOST}]++)+", re.I)
+CARDS, IPS, AREAS = (re.compile(rf"(?<![0-9A-Za-z])(?=({x})(?![0-9]))") for x in (CARD_FORM, IP_FORM, AREA_FORM))
+ATS = re.compile(r"@| at |\[at\] ?|\(at\) ?", re.I)
+HOSTS = re.compile(rf"[{HOST}]++")
+DOTS = re.compile(DOT_FORM + rf"[{HOST}]++", re.I)
+BACK = re.compile(rf"[{LOCAL}]*+")
+
+
+def plausible(kind: str, span: str, hinted: bool = False) -> bool:
+    """The exact check that follows the model. hinted: the word before says that it is of this kind."""
     digits = re.sub("[^0-9]", "", span)
     if kind == "ip":
         return ip_parts(span)
     if kind == "card":
-        return 14 <= len(digits) <= 19 and not re.search(r"[^0-9 -]", span) and luhn(digits)
+        return 14 <= len(digits) <= 19 and bool(CARD.fullmatch(span)) and luhn(digits)
     if kind == "phone":
-        return 10 <= len(digits) <= 15 and not re.search(r"[^0-9 ().+-]", span)
-    return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+(?:@| ?\[at\] ?| ?\(at\) ?| at )[A-Za-z0-9-]+(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[A-Za-z0-9-]+)+", span, re.I))
+        if not 10 <= len(digits) <= 15:
+            return False
+        return bool(PLUS.fullmatch(span) or AREA.fullmatch(span) or hinted and not re.search(r"[^0-9 ().+-]", span))
+    if not EMAIL.fullmatch(span):
+        return False
+    plain = re.fullmatch(rf"([{LOCAL}]++) at [{HOST}]++(?:\.[{HOST}]++)+", span, re.I)
+    last = re.search(rf"[{HOST}]++$", span)[0]
+    return not plain or len(last) >= 2 and last.isalpha() and not plain[1].isalpha()  # "was at example.com" is none
+
+
+def local_start(text: str, at: int, least: int = 0) -> int:
+    """Where the run of local characters that ends at `at` begins, not before `least`."""
+    back = 64
+    while True:
+        low = max(least, at - back)
+        n = BACK.match(text[low:at][::-1]).end()
+        if n < at - low or low == least:
+            return at - n
+        back *= 4
+
+
+def last_word(text: str, at: int) -> str:
+    """The word before a place, in lower case."""
+    m = re.search(r"([A-Za-z]+)[^0-9A-Za-z]*\Z", text[max(0, at - LOOK_BACK) : at])
+    return m[1].lower() if m else ""
 
 
 def span_features(span: str, before: str, left: str, right: str) -> list[str]:
@@ -74,33 +117,68 @@ def _shape(c: str) -> str:
 class Region:
     text: str
     before: str = ""
-    tokens: list[tuple[int, int]] = field(default_factory=list)
-
-    def __post_init__(self):
-        self.tokens = [m.span() for m in TOKEN.finditer(self.text)]
-
-    def candidates(self) -> list[tuple[int, int, list[str]]]:
-        """(first token, end token, features) of entities that are worth a score: they begin and end well, hold 4 to 19
-        digits or an at sign, and cut no run of digits or letters."""
-        out, text, toks = [], self.text, self.tokens
-        for i, (s, _) in enumerate(toks):
-            if not (text[s].isalnum() or text[s] in "+("):
-                continue
-            digits = 0
-            for j in range(i, min(len(toks), i + MOST_TOKENS)):
-                a, e = toks[j]
-                digits += (e - a) if text[a].isdigit() else 0
-                if digits > 19:
-                    break
-                if not text[a].isalnum():
-                    continue
-                span = text[s:e]
-                if digits < 4 and not AT.search(span):
-                    continue
-                word = re.search(r"([A-Za-z]+)[^0-9A-Za-z]*$", text[:s])
-                out.append((i, j + 1, span_features(span, (word[1] if word else self.before).lower(), text[s - 1 : s], text[e : e + 1])))
+
+    def hint(self, at: int) -> str:
+        """The word before a place: in the region, else the one before it."""
+        return last_word(self.text, at) or self.before
+
+    def spans(self) -> list[tuple[int, int]]:
+        """Candidates in order: spans that have the form of a kind, some of them ending at several places."""
+        text, out = self.text, set()
+        for finder in (CARDS, IPS, AREAS):
+            out.update(m.span(1) for m in finder.finditer(text))
+        at = text.find("+")
+        while at >= 0:  # after a plus a number may end with any of its groups
+            out.update(self._numbers(at + 1, at))
+            at = text.find("+", at + 1)
+        if HINTS.get(self.before) == "phone":
+            out.update(self._numbers(0, 0))
+        done = 0
+        for m in ATS.finditer(text):
+            gap = m.start() - (text[m.start() - 1 : m.start()] == " ")
+            s, host = local_start(text, gap, done), HOSTS.match(text, m.end())
+            dot = host and DOTS.match(text, host.end())
+            while dot and s < gap:
+                out.add((s, done := dot.end()))
+                dot = DOTS.match(text, dot.end())
+        return sorted(x for x in out if worth(text[x[0] : x[1]], text[x[0]] == "+" or HINTS.get(self.before) == "phone"))
+
+    def _numbers(self, at: int, start: int) -> list[tuple[int, int]]:
+        """From start to the end of each run of digits, while there are 10 to 15 of them; digits and separators alone."""
+        out, digits = [], 0
+        for k, m in enumerate(TOKEN.finditer(self.text, at)):
+            if k >= MOST_TOKENS or digits > 15 or m[0] not in SEPARATORS and not (m[0][0].isdigit() and m[0].isascii()):
+                break
+            if m[0][0].isdigit():
+                digits += len(m[0])
+                if 10 <= digits <= 15:
+                    out.append((start, m.end()))
         return out
 
+    def features(self, s: int, e: int) -> list[str]:
+        return span_features(self.text[s:e], self.hint(s), self.text[s - 1 : s] if s else "", self.text[e : e + 1])
+
+
+SEPARATORS = frozenset(" .-()")
+
+
+def worth(span: str, phone: bool) -> bool:
+    """Whether a candidate passes the check of any kind."""
+    return any(plausible(k, span, phone) for k in KINDS)
+
+
+def groups(spans: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Spans in order, parted where none reaches over."""
+    out: list[list[tuple[int, int]]] = []
+    end = -1
+    for s, e in spans:
+        if s < end:
+            out[-1].append((s, e))
+        else:
+            out.append([(s, e)])
+        end = max(end, e)
+    return out
+
 
 class Field:
     def __init__(self):
@@ -113,14 +191,16 @@ class Field:
             return [self.number.setdefault(n, len(self.number)) for n in names]
         return [self.number[n] for n in names if n in self.number]
 
-    def lattice(self, region: Region, grow: bool = False) -> list[list[tuple[int, list[int], bool]]]:
+    def lattice(self, region: Region, tokens: list[tuple[int, int]], spans: list[tuple[int, int]], grow: bool = False) -> list[list[tuple[int, list[int], bool]]]:
         """By end: (begin, feature ids, entity)."""
-        ends: list[list[tuple[int, list[int], bool]]] = [[] for _ in range(len(region.tokens) + 1)]
-        for k, (s, e) in enumerate(region.tokens):
-            token = region.text[s:e]
-            ends[k + 1].append((k, self.ids([f"o={_shape(token[0])}", f"o={_shape(token[0])}{min(e - s, 12)}"], grow), False))
-        for i, j, f in region.candidates():
-            ends[j].append((i, self.ids(f, grow), True))
+        ends: list[list[tuple[int, list[int], bool]]] = [[] for _ in range(len(tokens) + 1)]
+        for k, (s, e) in enumerate(tokens):
+            shape = _shape(region.text[s])
+            ends[k + 1].append((k, self.ids([f"o={shape}", f"o={shape}{min(e - s, 12)}"], grow), False))
+        first, last = {s: k for k, (s, _) in enumerate(tokens)}, {e: k + 1 for k, (_, e) in enumerate(tokens)}
+        for s, e in spans:
+            if s in first and e in last:
+                ends[last[e]].append((first[s], self.ids(region.features(s, e), grow), True))
         return ends
 
     def scores(self, ids: list[int], entity: bool) -> np.ndarray:
@@ -132,9 +212,17 @@ class Field:
             out[1:] = -np.inf
         return out
 
-    def best(self, region: Region) -> list[tuple[str, int, int]]:
-        """(kind, start, end) in characters of the region, by Viterbi."""
-        ends = self.lattice(region)
+    def best(self, region: Region, spans: list[tuple[int, int]] | None = None) -> list[tuple[str, int, int]]:
+        """(kind, start, end) in characters of the region, by Viterbi over each group of candidates and the token after it."""
+        out = []
+        for group in groups(region.spans() if spans is None else spans):
+            end = max(e for _, e in group)
+            after = TOKEN.match(region.text, end)
+            tokens = [m.span() for m in TOKEN.finditer(region.text, group[0][0], after.end() if after else end)]
+            out += self._best(tokens, self.lattice(region, tokens, group))
+        return out
+
+    def _best(self, tokens: list[tuple[int, int]], ends: list[list[tuple[int, list[int], bool]]]) -> list[tuple[str, int, int]]:
         top = np.full((len(ends), len(LABELS)), -np.inf)
         top[0, 0] = 0
         back: list[list[tuple[int, int] | None]] = [[None] * len(LABELS) for _ in ends]
@@ -149,20 +237,24 @@ class Field:
         while e > 0:
             b, p = back[e][y]
             if y:
-                out.append((LABELS[y], region.tokens[b][0], region.tokens[e - 1][1]))
+                out.append((LABELS[y], tokens[b][0], tokens[e - 1][1]))
             e, y = b, p
         return out[::-1]
 
     def fit(self, examples: list[tuple[Region, list[tuple[str, int, int]]]], epochs: int = 6, rate: float = 0.3, seed: int = 0) -> Field:
         """Stochastic ascent on the conditional log-likelihood, with forward and backward sums over segments."""
-        known = [(self.lattice(r, True), r, gold) for r, gold in examples]
+        known = []
+        for r, gold in examples:
+            tokens = [m.span() for m in TOKEN.finditer(r.text)]
+            spans = sorted({*r.spans(), *((s, e) for _, s, e in gold)})
+            known.append((self.lattice(r, tokens, spans, True), tokens, gold))
         k = len(LABELS)
         self.weights = np.zeros((len(self.number), k))
         grad, grad_moves = np.full_like(self.weights, 1e-3), np.full_like(self.moves, 1e-3)
         rng = random.Random(seed)
         for _ in range(epochs):
             rng.shuffle(known)
-            for ends, region, gold in known:
+            for ends, toks, gold in known:
                 want = {(s, e): LABELS.index(kind) for kind, s, e in gold}
                 segs = [(b, e, ids, self.scores(ids, ent)) for e in range(1, len(ends)) for b, ids, ent in ends[e]]
                 a = np.full((len(ends), k), -np.inf)
@@ -182,7 +274,6 @@ class Field:
                     for i in ids:
                         d[i] = d.get(i, 0) - q
                 at, prev = 0, 0
-                toks = region.tokens
                 by_start = {s: (e, y) for (s, e), y in want.items()}
                 while at < len(toks):
                     e, y = by_start.get(toks[at][0], (toks[at][1], 0))

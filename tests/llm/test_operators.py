@@ -428,6 +428,36 @@ def test_model_held_out():
     assert right / all_ >= 0.85 and wrong / max(1, right) <= 0.1
 
 
+def test_rows_of_numbers_are_no_personal_data():
+    import random
+
+    rng, model = random.Random(3), pii.trained()
+    for make in (lambda: rng.randint(0, 9999), lambda: rng.randint(0, 10**9), lambda: rng.randint(10**15, 10**16), lambda: f"{rng.random() * 1000:.2f}", lambda: f"{rng.randint(100, 999)}-{rng.randint(1000, 9999)}"):
+        for per in (1, 3, 8):
+            text = "\n".join(" ".join(str(make()) for _ in range(per)) for _ in range(2000 // per))
+            base = pii.base_spans(text)
+            assert set(pii.all_spans(text, base, model)) == set(base)
+
+
+def test_numbers_longer_than_python_reads():
+    text = "9" * 5000 + ".1.2.3 " + "0" * 5000 + "12.1.2.3"
+    assert pii.base_spans(text) == [("ip", 5007, 5007 + 5008)]
+
+
+@pytest.mark.parametrize("piece", ["7", "1234 ", "1234567890 ", "4111111111111111 ", "1.", "+1 ", "+", "a", "a@", "a.b ", "(1", "1-", "@a.b"])
+@pytest.mark.parametrize("lead", ["", "x [at] "])
+def test_long_texts_take_linear_time(piece, lead):
+    import time
+
+    model, took = pii.trained(), []
+    for n in (60_000, 240_000):
+        text = lead + piece * (n // len(piece))
+        t = time.process_time()
+        pii.all_spans(text, pii.base_spans(text), model)
+        took.append(time.process_time() - t)
+    assert took[1] < 1 or took[1] < 7 * took[0]
+
+
 def test_redaction_and_odd_rows(spark, odd, empty):
     one = spark.createDataFrame([(1, "mail bob.34@mail7.example.com or 1.2.3.4")], "doc_id long, text string")
     assert pii.redact(one).first()["text"] == "mail <email> or <ip>"
