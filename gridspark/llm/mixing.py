@@ -1,10 +1,11 @@
 """Mixing sources to target weights (operator 5): Sainte-Laguë apportionment of equal-token blocks.
 
 Each source has a target in words. Seats of `block_words` words go to the sources by the highest quotients
-target / (2 seats + 1), then each source's seats go to its shards in the same way by their sizes. A shard is a seeded
-share of a source's documents of bounded rows, in a seeded order, cut into blocks of equal numbers of words. Its quota is
-so many passes over all its blocks and some more blocks, selected by a seeded permutation. Documents are never sorted or
-gathered beyond a shard, so a source may hold any part of the rows.
+target / (2 seats + 1), then each source's seats go to its shards in the same way by their sizes, down a tree of at most
+FAN children a node, so no task sees all shards of a source. A shard is a seeded share of a source's documents of bounded
+rows, in a seeded order, cut into blocks of equal numbers of words. Its quota is so many passes over all its blocks and
+some more blocks, selected by a seeded permutation. Documents are never sorted or gathered beyond a shard, so a source
+may hold any part of the rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from gridspark.llm._common import clear_name, count_words, written
 
 BLOCK_WORDS = 128
 SHARD_ROWS = 4096
+FAN = 1024  # shards, or parts of a source that hold shards, among which one task deals out seats
 MAX_REPEAT = 3
 MAX_SOURCES = 1_000_000  # the mixture is a table of sources on the driver; more are an error
 CYCLE = (5, 2, 1)  # weights of the sources in their order, repeating
@@ -49,19 +51,24 @@ def capped_targets(sizes: Sequence[int], weights: Sequence[float], max_repeat: f
 def sainte_lague(votes: Sequence[float | Fraction], seats: int) -> list[int]:
     """Seats by the highest quotients votes / (2 k + 1); of equal quotients the earlier party's comes first.
 
-    A divisor gives all but a few seats at once, the rest go one by one, so the cost does not grow with the seats."""
+    All quotients above a bound that at most `seats` of them pass are given at once; then go one by one the rest, of which
+    there are 1.5 a party at most, so the cost does not grow with the seats."""
     import heapq
 
-    total = sum(votes)
+    votes = [Fraction(v) for v in votes]
+    total, n = sum(votes), len(votes)
     if not total or seats <= 0:
-        return [0] * len(votes)
-    won = [max(0, int(Fraction(v) * seats / Fraction(total)) - 1) for v in votes]
-    best = [(-Fraction(v) / (2 * n + 1), i) for i, (v, n) in enumerate(zip(votes, won, strict=True)) if v > 0]
+        return [0] * n
+    won = [0] * n
+    if seats > n:  # a party has ceil(x) // 2 quotients above v / x; their sum is at most seats - n / 2 here
+        bound = total / (2 * (seats - n))
+        won = [-(-v // bound) // 2 for v in votes]
+    best = [(-v / (2 * k + 1), i) for i, (v, k) in enumerate(zip(votes, won, strict=True)) if v > 0]
     heapq.heapify(best)
     for _ in range(seats - sum(won)):
         _, i = best[0]
         won[i] += 1
-        heapq.heapreplace(best, (-Fraction(votes[i]) / (2 * won[i] + 1), i))
+        heapq.heapreplace(best, (-votes[i] / (2 * won[i] + 1), i))
     return won
 
 
@@ -78,7 +85,7 @@ def _source_table(units: DataFrame, weights: dict[str | None, float] | None, max
     return [(r["source"], size, float(t), seat, int(r["n"])) for r, size, t, seat in zip(rows, sizes, target, seats, strict=True)]
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, max_repeat: int = MAX_REPEAT, block_words: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: int = 0, keep: bool = False) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, max_repeat: int = MAX_REPEAT, block_words: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, fan: int = FAN, seed: int = 0, keep: bool = False) -> DataFrame:
     """One row per row of docs: id, size, source_size, target, taken, and the plan: passes (over the whole document),
     first (place of its first word in its shard), shard_size, blocks, extra (blocks taken once more), turn.
 
@@ -98,14 +105,21 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     units = units.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "lot"), number))
 
     def seats_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard")
-        won = sainte_lague([int(s) for s in pdf["shard_size"]], int(pdf["seats"].iloc[0]))
-        return pd.DataFrame({"source": pdf["source"], "shard": pdf["shard"], "shard_size": pdf["shard_size"], "won": won})
-
-    slim = units.select("source", "shard", "size", "seats")
-    shards = slim.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
-    shards = shards.groupBy("source").applyInPandas(seats_of, "source string, shard long, shard_size long, won long")
-    shards = written(shards, "shards").withColumnsRenamed({"source": "in_source", "shard": "in_shard"})
+        pdf = pdf.sort_values("part")
+        won = sainte_lague([int(s) for s in pdf["part_size"]], int(pdf["seats"].iloc[0]))
+        return pd.DataFrame({"source": pdf["source"], "part": pdf["part"], "part_size": pdf["part_size"], "won": won})
+
+    shards = written(units.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")), "shards")
+    most, depth = max((-(-n // shard_rows) for *_, n in table), default=1), 1
+    while fan**depth < most:
+        depth += 1
+    won = sources.select("source", F.lit(0).cast("long").alias("part"), F.col("seats").alias("won"))
+    for level in range(depth - 1, -1, -1):
+        parts = shards.groupBy("source", F.expr(f"shard div {fan**level}L").alias("part")).agg(F.sum("shard_size").alias("part_size"))
+        above = won.select(F.col("source").alias("of"), F.col("part").alias("above"), F.col("won").alias("seats"))
+        parts = parts.join(above, F.col("source").eqNullSafe(F.col("of")) & (F.expr(f"part div {fan}L") == F.col("above")))
+        won = written(parts.groupBy("source", "above").applyInPandas(seats_of, "source string, part long, part_size long, won long"), "seats")
+    shards = won.withColumnsRenamed({"source": "in_source", "part": "in_shard", "part_size": "shard_size"})
 
     order = Window.partitionBy("source", "shard").orderBy("lot", "id", "size")
     placed = units.withColumn("first", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -111,3 +111,41 @@ def op1(docs, path):
 
     t = Tokenizer.from_file(path)
     return [(i, len((x or "").encode()), n, n > 2048) for i, x in docs for n in [len(t.encode(x or "", add_special_tokens=False).ids)]]
+
+
+def sainte_lague(votes, seats):
+    """One seat after the other."""
+    from fractions import Fraction
+
+    votes, won = [Fraction(v) for v in votes], [0] * len(votes)
+    for _ in range(seats if sum(votes) else 0):
+        won[max(range(len(votes)), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))] += 1
+    return won
+
+
+def op8_vector(text):
+    """Sums of 32 bits of four hashes of each line, sums of the signs of each word pair's hash."""
+    equal, near = [0] * 8, [0] * 64
+    for line in text.split("\n"):
+        for k in range(4):
+            h = xxhash.xxh64_intdigest(line.encode(), xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42))
+            equal[2 * k] += h & 0xFFFFFFFF
+            equal[2 * k + 1] += h >> 32
+        words = WORD.findall(line)
+        for a, b in zip(words, [*words[1:], None][: len(words)], strict=True):
+            h = xxhash.xxh64_intdigest(a.encode(), 42)
+            h = h if b is None else xxhash.xxh64_intdigest(b.encode(), h)
+            for i in range(64):
+                near[i] += 1 if h >> i & 1 else -1
+    return equal, near
+
+
+def op8_print(vector):
+    return "".join(f"{x % 2**32:08x}" for part in vector for x in part)
+
+
+def op8_likeness(v, w):
+    if v[1] == w[1] and [x % 2**32 for x in v[0]] == [x % 2**32 for x in w[0]]:
+        return 1.0
+    sizes = sum(x * x for x in v[1]) + sum(x * x for x in w[1])
+    return max(0.0, min(1.0, 2 * sum(x * y for x, y in zip(v[1], w[1], strict=True)) / sizes)) if sizes else 0.0

@@ -1,6 +1,7 @@
 """Each operator against a plain version, on texts of all kinds, and on odd and empty tables."""
 
 import hashlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -229,6 +230,11 @@ def test_sainte_lague():
         votes = rng.integers(1, 1000, 9).tolist()
         assert mixing.sainte_lague(votes, seats) == plain(votes, seats)
     assert mixing.sainte_lague([0, 0], 5) == [0, 0]
+    for k in range(4):  # thousands of very unequal parties, equal ones among them
+        votes = [[49_000] + [51] * 1000, (rng.pareto(0.7, 3000) * 10).astype(int).tolist(), [7] * 2000, [10**12] + [1] * 500][k]
+        seats = int(rng.integers(1, 1500))
+        quotients = sorted(((-Fraction(int(v)) / (2 * j + 1), i) for i, v in enumerate(votes) if v for j in range(seats if v > sum(votes) / 50 else seats // 10 + 5)), key=lambda x: x)[:seats]
+        assert mixing.sainte_lague(votes, seats) == np.bincount([i for _, i in quotients], minlength=len(votes)).tolist()
 
 
 def test_mixing(docs, ordered):
@@ -249,6 +255,48 @@ def test_mixing(docs, ordered):
     assert [next(r for i, r in found.items() if source[i] == s)["target"] for s in order] == [float(t) for t in want]
 
 
+@pytest.mark.parametrize("fan", [3, 1024])
+def test_mixing_word_by_word(docs, fan):
+    """`taken` by marking single words, from the hashes alone; with several shards a source and a tree of several levels."""
+    block, per, seed = 8, 5, 3
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block_words=block, shard_rows=per, seed=seed, fan=fan).collect()}
+    lot = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    all_ = [(r["source"], r["doc_id"], len(brute.WORD.findall(r["text"] or "")), r["lot"], r["h"]) for r in docs.select("source", "doc_id", "text", lot.alias("lot"), F.xxhash64(F.lit(seed), lot).alias("h")).collect()]
+    names = sorted({r[0] for r in all_}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r[2] for r in all_ if r[0] == s) for s in names]
+    targets = mixing.capped_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
+    seats = brute.sainte_lague(targets, round(sum(targets) / block))
+    want = {}
+    for s, seat in zip(names, seats, strict=True):
+        own = [r for r in all_ if r[0] == s]
+        n = max(1, -(-len(own) // per))
+        shard = lambda r, n=n: r[4] % n
+        level = 1
+        while fan**level < max(-(-sum(r[0] == x for r in all_) // per) for x in names):
+            level += 1
+        won = {0: seat}
+        for k in range(level - 1, -1, -1):
+            below = {}
+            for above, has in won.items():
+                parts = sorted({shard(r) // fan**k for r in own if shard(r) // fan ** (k + 1) == above})
+                below |= dict(zip(parts, brute.sainte_lague([sum(r[2] for r in own if shard(r) // fan**k == p) for p in parts], has), strict=True))
+            won = below
+        for p, has in won.items():
+            members = sorted((r for r in own if shard(r) == p), key=lambda r: (r[3], r[1], r[2]))
+            words = [r[1] for r in members for _ in range(r[2])]
+            size, blocks = len(words), max(1, len(words) // block)
+            passes = min(3, has * block // size) if size else 0
+            extra = min(blocks, int((has * block - passes * size) * blocks / size + 0.5)) if size and passes < 3 else 0
+            turn = docs.sparkSession.range(1).select(F.xxhash64(F.lit(seed), F.lit(s).cast("string"), F.lit(p).cast("long"))).first()[0] % blocks
+            taken = [i for i in range(blocks) if (i * mixing.STRIDE + turn) % blocks < extra]
+            for r in members:
+                want[r[1]] = passes * r[2]
+            for i in taken:
+                for w in words[i * size // blocks : (i + 1) * size // blocks]:
+                    want[w] += 1
+    assert got == want
+
+
 def test_mixed_documents(docs, odd, empty):
     mixed = mixing.mixed_documents(docs, block_words=16, shard_rows=40)
     assert mixed.columns == docs.columns
@@ -372,6 +420,23 @@ def test_fingerprints(spark, docs, ordered):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_fingerprints_word_by_word(docs, ordered):
+    got = {r["doc_id"]: r for r in doc_fingerprints.edited_pairs(docs).collect()}
+    for k, (i, t) in enumerate(ordered):
+        t, n = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+        edit = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        v, e, x = map(brute.op8_vector, (t, edit, n))
+        assert got[i]["fingerprint"] == brute.op8_print(v) and got[i]["edited_fingerprint"] == brute.op8_print(e)
+        assert abs(got[i]["near_edited"] - brute.op8_likeness(v, e)) < 1e-9 and abs(got[i]["near_next"] - brute.op8_likeness(v, x)) < 1e-9
+
+
+def test_fingerprints_of_long_repetitive_texts(spark):
+    texts = ["w " * 65_537, "w " * 65_537 + "other", "w " * 39_000, "p q\n" * 70_000, "p q\n" * 70_000]
+    got = doc_fingerprints.edited_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert got[0]["near_next"] > 0.99 and got[0]["near_edited"] > 0.99 and abs(got[1]["near_next"] - 2 * 39_000 * 65_537 / (39_000**2 + 65_537**2)) < 0.01
+    assert got[3]["fingerprint"] == got[4]["fingerprint"] and got[3]["near_next"] == 1
+
+
 def test_paragraphs_add_and_take_away(spark):
     a, b = "first paragraph of it\nsecond one here", "third follows\nfirst paragraph of it"
     df = spark.createDataFrame([(0, a), (1, b), (2, "second one here\nfirst paragraph of it"), (3, a + "\n" + b)], "doc_id long, text string")
