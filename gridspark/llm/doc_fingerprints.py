@@ -2,9 +2,10 @@
 
 A paragraph (line) hashes to a wide vector of two parts: EQUAL sums of 32 bits, from independent hashes of the
 paragraph, and NEAR signs, from hashes of its word pairs (the last word pairs with nothing). A document's vector is the
-sum of its paragraphs', modulo 2**32 and 2**16. So the order of paragraphs does not matter, a paragraph is added or taken
+sum of its paragraphs', modulo 2**32 in both parts. So the order of paragraphs does not matter, a paragraph is added or taken
 away by adding or subtracting its vector, and equal multisets have equal sums. The signs also tell how alike two
-documents are: the inner product of two sums estimates the word pairs that they share.
+documents are: the inner product of two sums estimates the word pairs that they share. A sum of signs stays below the
+modulus for any text of less than 2**31 words, so long repetitive texts are as alike as they should be.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def _mod(x: Column, power: int) -> Column:
 
 
 def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, equal (array of long), near (array of int), pairs (long): the vector of each row of distinct keys.
+    """keys, equal (array of long), near (array of long), pairs (long): the vector of each row of distinct keys.
 
     A row's words pass one by one through sums that are combined where they stand; nothing of a text is gathered."""
     lines = rows.select(*keys, F.explode(F.split(F.col(text), "\n", -1)).alias("line"))
@@ -42,38 +43,37 @@ def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
             sums.append(F.sum(F.when(F.col("line").isNotNull(), half).otherwise(F.lit(0).cast("long"))).alias(f"e{2 * k + i}"))
     sums += [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_PAIR))).alias(f"n{i}") for i in range(NEAR // 2)]
     out = each.groupBy(*keys).agg(*sums, F.sum("one").alias("pairs"))
-    sign = lambda ones: _mod(2 * ones - F.col("pairs"), 16).cast("int")
+    sign = lambda ones: _mod(2 * ones - F.col("pairs"), 32)
     low = [sign(F.col(f"n{i}").bitwiseAND(F.lit(0xFFFFFFFF))) for i in range(NEAR // 2)]
     high = [sign(F.shiftrightunsigned(f"n{i}", 32)) for i in range(NEAR // 2)]
     return out.select(*keys, F.array(*[_mod(F.col(f"e{i}"), 32) for i in range(EQUAL)]).alias("equal"), F.array(*low, *high).alias("near"), "pairs")
 
 
 def printed(equal: Column, near: Column) -> Column:
-    """A fingerprint as text: 8 hex digits a lane of the first part, 4 a lane of the second."""
-    hexes = lambda a, n: F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), n, "0")), "")
-    return F.concat(hexes(equal, 8), hexes(near, 4))
+    """A fingerprint as text: 8 hex digits a lane, the first part before the second."""
+    return F.array_join(F.transform(F.concat(equal, near), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
 def parse(fingerprint: Column) -> tuple[Column, Column]:
     """The two parts of a printed fingerprint."""
-    part = lambda at, n, k: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.conv(F.substring(fingerprint, F.lit(at) + i * k + 1, F.lit(k)), 16, 10).cast("long"))
-    return part(0, EQUAL, 8), F.transform(part(EQUAL * 8, NEAR, 4), lambda x: x.cast("int"))
+    part = lambda at, n: F.transform(F.sequence(F.lit(at), F.lit(at + n - 1)), lambda i: F.conv(F.substring(fingerprint, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+    return part(0, EQUAL), part(EQUAL, NEAR)
 
 
 def added(a: Column, b: Column, sign: int = 1) -> Column:
     """The printed fingerprint of the paragraphs of both (sign 1), or of a's less b's (sign -1)."""
     (e, n), (f, m) = parse(a), parse(b)
-    return printed(F.zip_with(e, f, lambda x, y: _mod(x + sign * y, 32)), F.zip_with(n, m, lambda x, y: _mod(x + sign * y, 16)))
+    return printed(F.zip_with(e, f, lambda x, y: _mod(x + sign * y, 32)), F.zip_with(n, m, lambda x, y: _mod(x + sign * y, 32)))
 
 
 def likeness(equal: Column, near: Column, other_equal: Column, other_near: Column) -> Column:
     """0 to 1: twice the estimated inner product over the sum of squares; 1 for equal vectors."""
-    centred = lambda x: (F.pmod(x + 32768, F.lit(65536)) - 32768).cast("long")
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    centred = lambda x: (F.pmod(x + (1 << 31), F.lit(1 << 32)) - (1 << 31)).cast("double")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     square = lambda a: total(F.transform(a, lambda x: centred(x) * centred(x)))
     inner = total(F.zip_with(near, other_near, lambda x, y: centred(x) * centred(y)))
     sizes = square(near) + square(other_near)
-    return F.when((equal == other_equal) & (near == other_near), F.lit(1.0)).when(sizes == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * inner / F.greatest(sizes, F.lit(1)))))
+    return F.when((equal == other_equal) & (near == other_near), F.lit(1.0)).when(sizes == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * inner / F.greatest(sizes, F.lit(1.0)))))
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
