@@ -2,8 +2,10 @@
 
 A text becomes a template of lower-case tokens in which numbers, names (capitalised words inside a sentence) and units
 after numbers are typed placeholders. A second template also takes capitalised words elsewhere for names, unless they are
-common; a window counts if it matches in either. Windows of WINDOW tokens are hashed on both sides and joined. The benchmark's side is
-broadcast where a count shows that it has MOST_BROADCAST windows at most; beyond that both sides are shuffled. A document
+common; a window counts if it matches in either. Windows of WINDOW tokens are hashed on both sides and joined. A window in
+which fewer than LITERAL tokens are no placeholders says nothing by its template: it is hashed as it stands, so rows of
+numbers only match word for word. Items of fewer than SHORTEST tokens only match documents that hold nothing else. The
+benchmark's side is broadcast where a count shows that it has MOST_BROADCAST windows at most; beyond that both sides are shuffled. A document
 is contaminated by an item if it holds half of the item's windows, or enough of them for a passage of PASSAGE tokens,
 and the values in matched slots are consistent: equal values in the item stand for equal values in the document.
 Different ones may coincide there.
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from gridspark.llm._common import written
 
 WINDOW = 8
-SHORTEST = 5  # items of fewer tokens say nothing
+SHORTEST = 5  # tokens of items that are looked for within documents
 PASSAGE = 13
 COVERAGE = 0.5
 MOST_BROADCAST = 1_000_000
@@ -32,14 +34,20 @@ NAME_PATTERN = r"(?<=[\p{Ll}\p{Nd},;:]['\x22)]?\x20)\p{Lu}[\p{L}\p{M}]+"
 #: Words that begin sentences and are no names (fixed list).
 COMMON = "the|an|this|that|these|those|there|here|it|its|he|she|they|we|you|his|her|their|our|your|my|in|on|at|by|for|from|to|of|with|without|as|if|when|while|after|before|during|since|until|because|although|and|or|but|so|then|now|next|later|finally|first|second|how|what|which|who|whom|whose|where|why|is|are|was|were|be|do|does|did|has|have|had|can|could|will|would|should|may|might|must|not|no|yes|each|every|all|both|some|any|most|many|much|more|one|two|three|let|find|given|suppose|calculate|compute|determine|write|give|use|please|der|die|das|ein|eine|und|wie|was|wer|wenn|le|la|les|un|une|et|il|elle|el|los|las|una|por|que|como|si"
 ANY_NAME_PATTERN = rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}])(?!(?i:{COMMON})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{L}}\p{{M}}]+"
-LITERAL = 3  # tokens of a window of the second template that are no placeholders, at least
+LITERAL = 3  # tokens of a window that are no placeholders, at least, for its template to count
+SIGNS = NUMBER + NAME + UNIT
 TOKEN_PATTERN = r"[\p{L}\p{M}]+|[\x01\x02\x03]"
 
 
+def unsigned(text: Column) -> Column:
+    """The text with blanks where it has the characters that stand for placeholders."""
+    return F.when(text.rlike(f"[{SIGNS}]"), F.translate(text, SIGNS, " " * len(SIGNS))).otherwise(text)
+
+
 def template(text: Column, anywhere: bool = False) -> Column:
     """The template of a text as an array of tokens. anywhere: names may also begin texts, sentences, lines and quotations;
     both templates have their tokens at the same places."""
-    named = F.regexp_replace(text, NAME_PATTERN, NAME)
+    named = F.regexp_replace(unsigned(text), NAME_PATTERN, NAME)
     if anywhere:
         named = F.regexp_replace(named, ANY_NAME_PATTERN, NAME)
     numbered = F.regexp_replace(named, NUMBER_PATTERN, f" {NUMBER} ")
@@ -49,29 +57,33 @@ def template(text: Column, anywhere: bool = False) -> Column:
 
 def values(text: Column) -> Column:
     """The tokens themselves, lower case, one for each of the template: what stands in its slots."""
-    marked = F.regexp_replace(text, f"({NUMBER_PATTERN})", " $1 ")
+    marked = F.regexp_replace(unsigned(text), f"({NUMBER_PATTERN})", " $1 ")
     return F.regexp_extract_all(F.lower(marked), F.lit(rf"{NUMBER_PATTERN}|[\p{{L}}\p{{M}}]+"), F.lit(0))
 
 
-def windows(rows: DataFrame, keys: list[str], tokens: str, more: str, width: int) -> DataFrame:
-    """keys, at, h: the hash of each window of width tokens, with the place of its first token; where the second template,
-    `more`, differs there and has LITERAL tokens that are no placeholders, its hash too."""
+def windows(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """keys, at, h: the hash of each window of width tokens, with the place of its first token, and its hash in the second
+    template where that differs. rows: keys, tokens, more, vals."""
     cut = lambda t, i: F.slice(t, F.lit(1 + i), F.greatest(F.size(t) - (width - 1), F.lit(0)))
-    zipped = F.arrays_zip(*[cut(F.col(c), i).alias(f"{a}{i}") for a, c in (("w", tokens), ("v", more)) for i in range(width)])
+    zipped = F.arrays_zip(*[cut(F.col(c), i).alias(f"{a}{i}") for a, c in (("w", "tokens"), ("v", "more"), ("x", "vals")) for i in range(width)])
     found = rows.select(*keys, F.posexplode(zipped).alias("at", "w"))
-    literal = sum((F.when(F.col(f"w.v{i}").isin(NUMBER, NAME, UNIT), 0).otherwise(1) for i in range(width)), F.lit(0))
-    found = found.select(*keys, "at", *[F.xxhash64(*[F.col(f"w.{a}{i}") for i in range(width)]).alias(a) for a in "wv"], (literal >= LITERAL).alias("plain"))
-    both = F.when((F.col("w") != F.col("v")) & F.col("plain"), F.array("w", "v")).otherwise(F.array("w"))
-    return found.select(*keys, "at", F.explode(both).alias("h"))
+    literal = lambda a: sum((F.when(F.col(f"w.{a}{i}").isin(NUMBER, NAME, UNIT), 0).otherwise(1) for i in range(width)), F.lit(0)) >= LITERAL
+    hashed = lambda a, seed: F.xxhash64(F.lit(seed), *[F.col(f"w.{a}{i}") for i in range(width)])
+    found = found.select(*keys, "at", F.when(literal("w"), hashed("w", 0)).otherwise(hashed("x", 1)).alias("w"), F.when(literal("v"), hashed("v", 0)).alias("v"))
+    return found.select(*keys, "at", F.explode(F.when(F.col("w") != F.col("v"), F.array("w", "v")).otherwise(F.array("w"))).alias("h"))
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
-    """item, members, tokens, more, n (windows), width: one row for all items of one template and pattern of equal slots."""
+    """item, members, tokens, more, vals, n (windows), width: one row for all items of one template and pattern of equal slots,
+    and where too few of its tokens are no placeholders, of equal tokens."""
     b = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
-    b = b.select("item", template(F.col("text")).alias("tokens"), template(F.col("text"), True).alias("more"), values(F.col("text")).alias("vals")).where(F.size("tokens") >= SHORTEST)
+    b = b.select("item", template(F.col("text")).alias("tokens"), template(F.col("text"), True).alias("more"), values(F.col("text")).alias("vals")).where(F.size("tokens") > 0)
     slot = F.col("more")
     pattern = F.transform("vals", lambda v, i: F.when(F.element_at(slot, i + 1).isin(NUMBER, NAME, UNIT), F.array_position("vals", v)))
-    b = b.withColumn("pattern", pattern)
+    size = F.size("tokens")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), size - width + 1))
+    few = F.exists(starts, lambda i: F.size(F.filter(F.slice("tokens", i, F.lit(width)), lambda t: ~t.isin(NUMBER, NAME, UNIT))) < LITERAL)
+    b = b.withColumn("pattern", F.struct(pattern.alias("p"), F.when((size < SHORTEST) | few, F.col("vals")).alias("v")))
     b = b.groupBy("tokens", "more", "pattern").agg(F.min_by(F.struct("item", "vals"), "item").alias("f"), F.sort_array(F.collect_set("item")).alias("members"))
     return b.select(F.col("f.item").alias("item"), F.col("f.vals").alias("vals"), "members", "tokens", "more", F.least(F.size("tokens"), F.lit(width)).alias("width")).withColumn("n", F.size("tokens") - F.col("width") + 1)
 
@@ -80,20 +92,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     """(id, text_hash, item_ids, coverage) of the contaminated rows of docs; rows equal in id and text give one.
 
     item_ids: all items of the matched templates, ascending; coverage: the greatest share of an item's windows. A null text
-    or item is no match, items of fewer than SHORTEST tokens are not looked for, items of fewer than width tokens are
-    looked for as one window of their own length. Ids may be null. An empty table on either side gives no rows."""
+    or item and one without tokens is no match, items of fewer than SHORTEST tokens match documents of the same tokens and
+    no others, items of fewer than width tokens are looked for as one window of their own length. Control characters are
+    blanks. Ids may be null. An empty table on either side gives no rows."""
     spark = docs.sparkSession
-    items = written(_items(benchmark, item_col, item_text_col, width), "items")
+    all_items = written(_items(benchmark, item_col, item_text_col, width), "items")
+    short, items = all_items.where(F.size("tokens") < SHORTEST), all_items.where(F.size("tokens") >= SHORTEST)
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    tokens = slim.select("id", "text_hash", template(F.col("text")).alias("tokens"), template(F.col("text"), True).alias("more"))
+    tokens = slim.select("id", "text_hash", template(F.col("text")).alias("tokens"), template(F.col("text"), True).alias("more"), values(F.col("text")).alias("vals"))
     hits = []
     for w in widths or [width]:
-        own = windows(items.where(F.col("width") == w), ["item"], "tokens", "more", w)
+        own = windows(items.where(F.col("width") == w), ["item"], w)
         own = written(own.select("h", "item", F.col("at").alias("item_at")).distinct(), "windows")
         distinct = own.select("h").distinct()
         few = own.count() <= most_broadcast
-        found = windows(tokens, ["id", "text_hash"], "tokens", "more", w)
+        found = windows(tokens, ["id", "text_hash"], w)
         found = found.join(F.broadcast(distinct) if few else distinct, "h", "left_semi")
         hits.append(found.join(F.broadcast(own) if few else own, "h").select("id", "text_hash", "item", "at", "item_at"))
     hits = written(reduce(DataFrame.unionByName, hits).distinct(), "hits")
@@ -117,6 +131,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     odd = pairs.groupBy(*by).agg(F.countDistinct("item_value", "value").alias("p"), F.countDistinct("item_value").alias("i"))
     odd = odd.groupBy("id", "text_hash", "item", "shift").agg(F.max((F.col("p") != F.col("i")).cast("int")).alias("bad")).groupBy("id", "text_hash", "item").agg(F.min("bad").alias("bad")).where("bad = 1")
     per = per.alias("p").join(odd.alias("o"), key("p", "o") & (F.col("p.item") == F.col("o.item")), "left_anti")
+    per = per.select("id", "text_hash", "members", "share")
+    if not short.isEmpty():
+        whole = slim.select("id", "text_hash", values(F.col("text")).alias("vals")).where(F.size("vals") < SHORTEST).distinct()
+        per = per.unionByName(whole.join(short.select("vals", "members"), "vals").select("id", "text_hash", "members", F.lit(1.0).alias("share")))
     return per.groupBy("id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("item_ids"), F.max("share").alias("coverage"))
 
 

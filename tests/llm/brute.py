@@ -149,3 +149,64 @@ def op8_likeness(v, w):
         return 1.0
     sizes = sum(x * x for x in v[1]) + sum(x * x for x in w[1])
     return max(0.0, min(1.0, 2 * sum(x * y for x, y in zip(v[1], w[1], strict=True)) / sizes)) if sizes else 0.0
+
+
+def op10(docs, items, patterns, width=8, literal=3, shortest=5, coverage=0.5, passage=13):
+    """{id: (item ids, coverage)}: every document against every item. patterns: of names, of names anywhere, of numbers, units."""
+    import math
+
+    import regex
+
+    name, anywhere, number, units = patterns
+    signs = "\1\2\3"
+
+    def cut(text):
+        text = text.translate(dict.fromkeys(map(ord, signs), " "))
+        first = regex.sub(name, signs[1], text)
+        forms = []
+        for t in (first, regex.sub(anywhere, signs[1], first)):
+            t = regex.sub(number, f" {signs[0]} ", t).lower()
+            forms.append(regex.findall(r"[\p{L}\p{M}]+|[\1\2\3]", regex.sub(rf"(?<={signs[0]} ) ?(?:{units})(?![\p{{L}}\p{{M}}])", signs[2], t)))
+        vals = regex.findall(rf"{number}|[\p{{L}}\p{{M}}]+", regex.sub(f"({number})", r" \1 ", text).lower())
+        assert len(forms[0]) == len(forms[1]) == len(vals)
+        return forms[0], forms[1], vals
+
+    def keys(text, w):
+        first, more, vals = text
+        out = []
+        for i in range(len(vals) - w + 1):
+            rich = lambda t, i=i: sum(x not in signs for x in t[i : i + w]) >= literal
+            found = {("t", *first[i : i + w]) if rich(first) else ("v", *vals[i : i + w])}
+            out.append(found | ({("t", *more[i : i + w])} if rich(more) else set()))
+        return out
+
+    texts = {i: cut(t) for i, t in docs if t is not None}
+    result = {}
+    for item, t in items:
+        if item is None or t is None:
+            continue
+        own = cut(t)
+        size = len(own[2])
+        w, n = min(size, width), max(1, size - width + 1)
+        for i, text in texts.items():
+            if size < shortest:
+                if size and own[2] == text[2]:
+                    result.setdefault(i, []).append((item, 1.0))
+                continue
+            where = {}
+            for at, ks in enumerate(keys(text, w)):
+                for k in ks:
+                    where.setdefault(k, set()).add(at)
+            hits = {(at, j) for j, ks in enumerate(keys(own, w)) for k in ks for at in where.get(k, ())}
+            matched = len({j for _, j in hits})
+            if not matched or not (matched >= math.ceil(n * coverage) or matched >= passage - w + 1):
+                continue
+            good = []
+            for shift in {at - j for at, j in hits}:
+                spots = {s for at, j in hits if at - j == shift for s in range(j, j + w) if own[1][s] in signs}
+                if spots:
+                    pairs = {(own[1][s], own[2][s], text[2][s + shift]) for s in spots}
+                    good.append(len(pairs) == len({p[:2] for p in pairs}))
+            if not good or any(good):
+                result.setdefault(i, []).append((item, matched / n))
+    return {i: (sorted({x for x, _ in found}), max(c for _, c in found)) for i, found in result.items()}

@@ -568,6 +568,40 @@ def test_decontamination_of_names_that_begin_sentences(spark):
     assert got == {1: [1], 2: [2], 4: [1]}
 
 
+def test_decontamination_against_every_item(spark):
+    import random
+
+    rng = random.Random(8)
+    words, names, units = ["pays", "the", "boy", "river", "and", "with", "apples", "for", "near", "sees", "big", "runs"], ["Anna", "Tom", "Maria", "Leo"], ["km", "dollars", "kg", ""]
+
+    def sentence():
+        return " ".join(rng.choice([rng.choice(words), rng.choice(words), rng.choice(words), rng.choice(names), f"{rng.randint(1, 12)} {rng.choice(units)}".strip()]) for _ in range(rng.randint(1, 14))) + rng.choice([".", "?", ",", "\n", " \x01 "])
+
+    items = [(k, " ".join(sentence() for _ in range(rng.randint(1, 3)))) for k in range(60)] + [(100, "7 11 13 17 19 23 29 31 37 41"), (101, "too short"), (102, "5 8 13 21 34 55 89 144 233 377"), (103, "..."), (None, "no id at all for this item here now"), (104, None)]
+
+    def text():
+        parts = [sentence() for _ in range(rng.randint(0, 6))]
+        for _ in range(rng.randint(0, 2)):
+            t = rng.choice(items)[1] or ""
+            if rng.random() < 0.6:
+                t = "".join(str(rng.randint(1, 30)) if c.isdigit() else c for c in t).replace("Anna", rng.choice(names)).replace("Tom", rng.choice(names))
+            parts.insert(rng.randint(0, len(parts)), t)
+        return " ".join(parts)
+
+    texts = [(k, text()) for k in range(150)] + [(200, "Too short!"), (201, "it is too short"), (202, "1 2 3 4 5 6 7 8 9 10 11 12"), (203, "so 7 11 13 17 19 23 29 31 37 41 end"), (204, ""), (205, None)]
+    want = brute.op10(texts, items, (decontamination.NAME_PATTERN, decontamination.ANY_NAME_PATTERN, decontamination.NUMBER_PATTERN, decontamination.UNITS))
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["id"]: (r["item_ids"], r["coverage"]) for r in decontamination.find_contamination(df, bench).collect()}
+    assert got == want and len(want) > 40 and {200, 203} <= set(want) and not {201, 202} & set(want)
+
+
+def test_decontamination_of_long_texts_and_clashing_names(spark):
+    item = "the quick brown fox runs over the lazy dog near a big river today"
+    df = spark.createDataFrame([(1, "Word 12 km " * 60_000 + item, "x", 1, [1]), (2, "\x01\x02\x03" * 50_000, "x", 1, [1]), (3, "A" * 300_000, "x", 1, [1])], "doc_id long, text string, h string, id int, item_ids array<int>")
+    bench = spark.createDataFrame([(1, item, "y")], "item_id long, text string, doc_id string")
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(df, bench).orderBy("doc_id").collect()] == [2, 3]
+
+
 def test_decontamination_of_numbers_that_coincide(spark):
     bench = spark.createDataFrame([(1, "a boy has 5 apples and then buys 3 more so how many of the 5 apples are left")], "item_id long, text string")
     df = spark.createDataFrame([(1, "a boy has 4 apples and then buys 4 more so how many of the 4 apples are left"), (2, "a boy has 4 apples and then buys 4 more so how many of the 6 apples are left")], "doc_id long, text string")
