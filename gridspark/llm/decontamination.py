@@ -28,15 +28,16 @@ MOST_BROADCAST = 1_000_000
 
 #: Units that may follow a number (fixed list).
 UNITS = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|l|ml|s|sec|min|h|hr|hours|minutes|seconds|days|weeks|months|years|miles|mph|kmh|feet|ft|inches|percent|dollars|euros|cents|usd|eur|degrees|points"
-NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
+NUMBER, NAME, UNIT, MAYBE = "\u0001", "\u0002", "\u0003", "\u0004"  # MAYBE stands before a name of the second template alone
 NUMBER_PATTERN = r"[0-9]+(?:[.,:/][0-9]+)*"
 NAME_PATTERN = r"(?<=[\p{Ll}\p{Nd},;:]['\x22)]?\x20)\p{Lu}[\p{L}\p{M}]+"
 #: Words that begin sentences and are no names (fixed list).
 COMMON = "the|an|this|that|these|those|there|here|it|its|he|she|they|we|you|his|her|their|our|your|my|in|on|at|by|for|from|to|of|with|without|as|if|when|while|after|before|during|since|until|because|although|and|or|but|so|then|now|next|later|finally|first|second|how|what|which|who|whom|whose|where|why|is|are|was|were|be|do|does|did|has|have|had|can|could|will|would|should|may|might|must|not|no|yes|each|every|all|both|some|any|most|many|much|more|one|two|three|let|find|given|suppose|calculate|compute|determine|write|give|use|please|der|die|das|ein|eine|und|wie|was|wer|wenn|le|la|les|un|une|et|il|elle|el|los|las|una|por|que|como|si"
-ANY_NAME_PATTERN = rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}])(?!(?i:{COMMON})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{L}}\p{{M}}]+"
+ANY_NAME_PATTERN = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{Nd}}])(?!(?i:{COMMON})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{L}}\p{{M}}]+"
 LITERAL = 3  # tokens of a window that are no placeholders, at least, for its template to count
-SIGNS = NUMBER + NAME + UNIT
-TOKEN_PATTERN = r"[\p{L}\p{M}]+|[\x01\x02\x03]"
+SIGNS = NUMBER + NAME + UNIT + MAYBE
+COUNTS = 1 << 16  # more than the tokens of any window
+TOKEN_PATTERN = r"\x04?[\p{L}\p{M}]+|[\x01\x02\x03]"
 
 
 def unsigned(text: Column) -> Column:
@@ -44,17 +45,20 @@ def unsigned(text: Column) -> Column:
     return F.when(text.rlike(f"[{SIGNS}]"), F.translate(text, SIGNS, " " * len(SIGNS))).otherwise(text)
 
 
-def template(text: Column, anywhere: bool = False) -> Column:
-    """The template of a text as an array of tokens. anywhere: names may also begin texts, sentences, lines and quotations;
-    both templates have their tokens at the same places."""
-    named = F.regexp_replace(unsigned(text), NAME_PATTERN, NAME)
-    if anywhere:
-        named = F.regexp_replace(named, ANY_NAME_PATTERN, NAME)
-    numbered = F.regexp_replace(named, NUMBER_PATTERN, f" {NUMBER} ")
-    united = F.regexp_replace(F.lower(numbered), f"(?<={NUMBER} ) ?(?:{UNITS})(?![\\p{{L}}\\p{{M}}])", UNIT)
+def marked(text: Column) -> Column:
+    """The tokens of a text's templates: placeholders, words, and words after MAYBE, which are names in the second template."""
+    named = F.regexp_replace(F.regexp_replace(unsigned(text), NAME_PATTERN, NAME), ANY_NAME_PATTERN, f"{MAYBE}$0")
+    numbered = F.lower(F.regexp_replace(named, NUMBER_PATTERN, f" {NUMBER} "))
+    united = F.regexp_replace(numbered, f"(?<={NUMBER} ) ?{MAYBE}?(?:{UNITS})(?![\\p{{L}}\\p{{M}}])", UNIT)
     return F.regexp_extract_all(united, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def template(tokens: Column, anywhere: bool = False) -> Column:
+    """The template of marked tokens. anywhere: names may also begin texts, sentences, lines and quotations; both templates
+    have their tokens at the same places."""
+    return F.transform(tokens, lambda t: F.when(F.startswith(t, F.lit(MAYBE)), F.lit(NAME) if anywhere else F.substring(t, 2, 1 << 30)).otherwise(t))
+
+
 def values(text: Column) -> Column:
     """The tokens themselves, lower case, one for each of the template: what stands in its slots."""
     marked = F.regexp_replace(unsigned(text), f"({NUMBER_PATTERN})", " $1 ")
@@ -63,13 +67,38 @@ def values(text: Column) -> Column:
 
 def windows(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
     """keys, at, h: the hash of each window of width tokens, with the place of its first token, and its hash in the second
-    template where that differs. rows: keys, tokens, more, vals."""
-    cut = lambda t, i: F.slice(t, F.lit(1 + i), F.greatest(F.size(t) - (width - 1), F.lit(0)))
-    zipped = F.arrays_zip(*[cut(F.col(c), i).alias(f"{a}{i}") for a, c in (("w", "tokens"), ("v", "more"), ("x", "vals")) for i in range(width)])
-    found = rows.select(*keys, F.posexplode(zipped).alias("at", "w"))
-    literal = lambda a: sum((F.when(F.col(f"w.{a}{i}").isin(NUMBER, NAME, UNIT), 0).otherwise(1) for i in range(width)), F.lit(0)) >= LITERAL
-    hashed = lambda a, seed: F.xxhash64(F.lit(seed), *[F.col(f"w.{a}{i}") for i in range(width)])
-    found = found.select(*keys, "at", F.when(literal("w"), hashed("w", 0)).otherwise(hashed("x", 1)).alias("w"), F.when(literal("v"), hashed("v", 0)).alias("v"))
+    template where that differs. rows: keys, marked, text.
+
+    Each token is hashed once. Hashes of runs of 2, 4, 8, ... tokens are those of two halves, step by step on the arrays
+    of a document; a window is put together from the runs whose lengths sum up to its width. The tokens as they stand are
+    only cut out where a window needs them."""
+    hashes, sums = (lambda x, y: F.xxhash64(x, y)), (lambda x, y: x + y)
+    shifted = lambda c, by: F.slice(c, F.lit(1 + by), F.greatest(F.size(c) - by, F.lit(0)))
+    runs = [1 << k for k in range(width.bit_length())]
+
+    def rolled(df: DataFrame, how: dict) -> DataFrame:
+        """Arrays a1 of single tokens become arrays a of their windows."""
+        for n in runs[:-1]:
+            df = df.select("*", *[F.zip_with(f"{a}{n}", shifted(F.col(f"{a}{n}"), n), f).alias(f"{a}{2 * n}") for a, f in how.items()])
+        done, at = {a: F.col(f"{a}{runs[-1]}") for a in how}, runs[-1]
+        for n in reversed(runs[:-1]):
+            if width & n:
+                done, at = {a: F.zip_with(done[a], shifted(F.col(f"{a}{n}"), at), f) for a, f in how.items()}, at + n
+        full = {a: F.slice(x, F.lit(1), F.greatest(F.size(x) - (width - 1), F.lit(0))) for a, x in done.items()}
+        return df.select(*[c for c in df.columns if c.rstrip("0123456789") not in how], *[x.alias(a) for a, x in full.items()])
+
+    maybe = lambda t: F.startswith(t, F.lit(MAYBE))
+    found = rows.select(
+        *keys, "text", F.transform("marked", lambda t: F.when(maybe(t), F.xxhash64(F.substring(t, 2, 1 << 30))).otherwise(F.xxhash64(t))).alias("w1"), F.transform("marked", lambda t: F.when(maybe(t), F.xxhash64(F.lit(NAME))).otherwise(F.xxhash64(t))).alias("v1"),
+        F.transform("marked", lambda t: F.when(t.isin(NUMBER, NAME, UNIT), 0).when(maybe(t), 1).otherwise(1 + COUNTS)).alias("c1"),  # words in both templates, in one number
+    )
+    found = rolled(found, {"w": hashes, "v": hashes, "c": sums})
+    bare = F.when(F.exists("c", lambda n: n % COUNTS < LITERAL), values(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    found = found.select(*keys, "w", "v", "c", F.transform(bare, lambda t: F.xxhash64(t)).alias("x1"))
+    found = rolled(found, {"x": hashes}).select(*keys, F.posexplode(F.arrays_zip("w", "v", "c", "x")).alias("at", "z")).select(*keys, "at", "z.*")
+    first = F.when(F.col("c") % COUNTS >= LITERAL, F.xxhash64("w", F.lit(0))).otherwise(F.xxhash64("x", F.lit(1)))
+    second = F.when(F.col("c") >= LITERAL * COUNTS, F.xxhash64("v", F.lit(0)))
+    found = found.select(*keys, "at", first.alias("w"), second.alias("v"))
     return found.select(*keys, "at", F.explode(F.when(F.col("w") != F.col("v"), F.array("w", "v")).otherwise(F.array("w"))).alias("h"))
 
 
@@ -77,15 +106,16 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> Da
     """item, members, tokens, more, vals, n (windows), width: one row for all items of one template and pattern of equal slots,
     and where too few of its tokens are no placeholders, of equal tokens."""
     b = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
-    b = b.select("item", template(F.col("text")).alias("tokens"), template(F.col("text"), True).alias("more"), values(F.col("text")).alias("vals")).where(F.size("tokens") > 0)
+    b = b.select("item", "text", marked(F.col("text")).alias("marked"), values(F.col("text")).alias("vals")).where(F.size("marked") > 0)
+    b = b.select("*", template(F.col("marked")).alias("tokens"), template(F.col("marked"), True).alias("more"))
     slot = F.col("more")
     pattern = F.transform("vals", lambda v, i: F.when(F.element_at(slot, i + 1).isin(NUMBER, NAME, UNIT), F.array_position("vals", v)))
     size = F.size("tokens")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), size - width + 1))
     few = F.exists(starts, lambda i: F.size(F.filter(F.slice("tokens", i, F.lit(width)), lambda t: ~t.isin(NUMBER, NAME, UNIT))) < LITERAL)
     b = b.withColumn("pattern", F.struct(pattern.alias("p"), F.when((size < SHORTEST) | few, F.col("vals")).alias("v")))
-    b = b.groupBy("tokens", "more", "pattern").agg(F.min_by(F.struct("item", "vals"), "item").alias("f"), F.sort_array(F.collect_set("item")).alias("members"))
-    return b.select(F.col("f.item").alias("item"), F.col("f.vals").alias("vals"), "members", "tokens", "more", F.least(F.size("tokens"), F.lit(width)).alias("width")).withColumn("n", F.size("tokens") - F.col("width") + 1)
+    b = b.groupBy("tokens", "more", "pattern").agg(F.min_by(F.struct("item", "vals", "marked", "text"), "item").alias("f"), F.sort_array(F.collect_set("item")).alias("members"))
+    return b.select(F.col("f.item").alias("item"), F.col("f.vals").alias("vals"), F.col("f.marked").alias("marked"), F.col("f.text").alias("text"), "members", "tokens", "more", F.least(F.size("tokens"), F.lit(width)).alias("width")).withColumn("n", F.size("tokens") - F.col("width") + 1)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, coverage: float = COVERAGE, passage: int = PASSAGE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -100,7 +130,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     short, items = all_items.where(F.size("tokens") < SHORTEST), all_items.where(F.size("tokens") >= SHORTEST)
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    tokens = slim.select("id", "text_hash", template(F.col("text")).alias("tokens"), template(F.col("text"), True).alias("more"), values(F.col("text")).alias("vals"))
+    tokens = slim.select("id", "text_hash", "text", marked(F.col("text")).alias("marked"))
     hits = []
     for w in widths or [width]:
         own = windows(items.where(F.col("width") == w), ["item"], w)

@@ -158,7 +158,7 @@ def op10(docs, items, patterns, width=8, literal=3, shortest=5, coverage=0.5, pa
     import regex
 
     name, anywhere, number, units = patterns
-    signs = "\1\2\3"
+    signs = "\1\2\3\4"
 
     def cut(text):
         text = text.translate(dict.fromkeys(map(ord, signs), " "))
