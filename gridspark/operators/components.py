@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.workspace import shared_dir
+
 
 def reading(formulas: DataFrame, ranges: DataFrame) -> DataFrame:
     """(reader, source): formula cells inside the ranges that other formulas read. formulas: (id, sheet, row, col); ranges:
@@ -21,9 +23,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges are stars around the smallest ids, so chains in any order take few rounds; each round ends in a checkpoint."""
     spark = nodes.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridspark-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     pairs = edges.toDF("a", "b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct().checkpoint()
     before = None
     while True:

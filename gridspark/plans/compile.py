@@ -7,6 +7,7 @@ aggregate for whole columns. A compiled value carries its kind and, only where i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -353,7 +354,9 @@ class Compiler:
                     return self.aggregate(name, args)
                 f = getattr(self, f"f_{name.lower().replace('.', '_')}", None)
                 if f is None:
-                    if name in g.ARRAY_CAPABLE | g.DYNAMIC | g.NONDETERMINISTIC:
+                    from gridspark.interp import FUNCTIONS
+
+                    if name in FUNCTIONS or name in g.ARRAY_CAPABLE | g.DYNAMIC | g.NONDETERMINISTIC:
                         raise NotCompilable(f"{name} has no column form here")
                     return Val(F.lit(None).cast("double"), "number", F.lit("Name"))
                 return f(*args)
@@ -677,14 +680,14 @@ class Compiler:
         return Val(F.when(t.value, a.value).otherwise(b.value), a.kind, first_error(t.err, err))
 
     def alike(self, a: Val, b: Val) -> tuple[Val, Val]:
-        """Two branches as values of one kind. Mixed kinds become text."""
+        """Two branches as values of one kind; a column cannot hold cells of mixed kinds."""
         if a.kind == "blank":
             a = Val(F.lit(0.0), "number", a.err)
         if b.kind == "blank":
             b = Val(F.lit(0.0), "number", b.err)
         if a.kind == b.kind:
             return (Val(a.value.cast("double"), a.kind, a.err), Val(b.value.cast("double"), b.kind, b.err)) if a.kind == "number" else (a, b)
-        return self.text(a), self.text(b)
+        raise NotCompilable(f"branches of kinds {a.kind} and {b.kind}")
 
     def f_ifs(self, *args: g.Node) -> Val:
         out = Val(F.lit(None).cast("double"), "number", F.lit("Na"))
@@ -889,6 +892,14 @@ class Compiler:
 
     # lookups
 
+    def comparable(self, want: Val, where: Grid, letter: str, near: bool, wild: bool = False) -> None:
+        """Refuses lookups that cells of one kind cannot answer: text among numbers, order of text, patterns."""
+        texts = {want.kind == "text", (where.kinds() if where is not self.grid else self.kinds)[letter] == "text"}
+        if len(texts) > 1:
+            raise NotCompilable("a lookup of text among numbers, or of a number among text")
+        if True in texts and (near or wild and re.search(r"[*?~]", str(want.constant or ""))):
+            raise NotCompilable("a lookup of text by its order or by a pattern")
+
     def keyed(self, v: Val) -> str:
         alias = self.fresh("q")
         self.settle_now()
@@ -920,6 +931,7 @@ class Compiler:
         if i < 1 or i > len(letters):
             return Val(F.lit(None).cast("double"), "number", F.lit("Value" if i < 1 else "Ref"))
         kinds = where.kinds() if where is not self.grid else self.kinds
+        self.comparable(want, where, letters[0], bool(approx), True)
         q, alias = self.keyed(want), self.fresh("v")
         first, value = where.columns[letters[0]], where.columns[letters[int(i) - 1]]
         slim = base.select(ROW, F.col(first).alias("_tk"), F.col(value).alias("_tv"))
@@ -931,6 +943,7 @@ class Compiler:
         where, base, letters = self.table(xs)
         if m is None or len(letters) != 1:
             raise NotCompilable("MATCH with a moving mode or several columns")
+        self.comparable(want, where, letters[0], m != 0, True)
         q, alias, (_, _, r) = self.keyed(want), self.fresh("v"), self.area(xs)
         slim = base.select(ROW, F.col(where.columns[letters[0]]).alias("_tk"), (F.col(ROW) - ((r.top or 1) - 1)).cast("double").alias("_place"))
         if m == 0:
@@ -946,6 +959,7 @@ class Compiler:
         if len(letters) != 1 or len(out) != 1 or m not in (0, 1, -1) or o not in (1, -1):
             raise NotCompilable("XLOOKUP over several columns, with wildcards or by halves")
         kinds = where.kinds() if where is not self.grid else self.kinds
+        self.comparable(want, where, letters[0], m != 0)
         q, alias = self.keyed(want), self.fresh("v")
         slim = base.select(ROW, F.col(where.columns[letters[0]]).alias("_tk"), F.col(where.columns[out[0]]).alias("_tv"))
         if m == 0:

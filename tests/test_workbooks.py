@@ -81,6 +81,32 @@ def test_random_sheets(spark):
         assert report["strategy"] == "columnar"
 
 
+#: Functions and cases without a column form have to give what the whole-file run gives.
+FALLBACKS = [
+    "=IFNA(A{r},0)", "=XMATCH(A{r},A$1:A$6)", "=DATE(2020,A{r},1)", "=ISTEXT(B{r})", "=TRIM(B{r})", "=EXP(A{r})", "=ROUNDUP(A{r}/3,1)", '=IF(A{r}>3,"a",1)', '=CHOOSE(1+(A{r}>3),"a",2)',
+    '=IFERROR(A{r}/(A{r}-2),"none")', '=MATCH("w*",B$1:B$6,0)', '=VLOOKUP("x",A$1:B$6,2,FALSE)', "=VLOOKUP(B{r},B$1:B$6,1,TRUE)", "=MATCH(A{r},B$1:B$6,0)", '=IFS(A{r}>3,"a",TRUE,2)', "=NOSUCHNAME(A{r})",
+]
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_columns_without_a_column_form(spark, k):
+    letters = "CDEF"
+    for i in range(0, len(FALLBACKS), 4):
+        if i // 4 != k:
+            continue
+        cols = {letters[j]: (lambda r, f=f: f.format(r=r)) for j, f in enumerate(FALLBACKS[i : i + 4])}
+        data = workbook({"S": sheet(6, A=lambda r: float(r), B=lambda r: ["wa", "wb", " wc ", "x", "y", "z"][r - 1], **cols)})
+        whole = api.eval_grid(data, spark=spark)
+        assert same_grid(api.eval_partitioned(data, min_formulas=0, spark=spark), whole)
+        for f in FALLBACKS[i : i + 4]:  # each alone through the columns' strategy, or a refusal
+            one = workbook({"S": sheet(6, A=lambda r: float(r), B=lambda r: ["wa", "wb", " wc ", "x", "y", "z"][r - 1], C=lambda r, f=f: f.format(r=r))})
+            try:
+                rows, _ = api.benchmark_rows(one, "columnar", spark=spark)
+            except ValueError:
+                continue
+            assert same_grid({"S": [v for _, _, v in rows]}, api.eval_grid(one, spark=spark)), f
+
+
 def test_values(spark):
     grid = api.eval_grid(workbook(SHEETS["lookup"]), spark=spark)
     assert all(row[1] == row[0] * 100 for row in grid["Main"])
