@@ -48,6 +48,9 @@ class Blank:
     def __repr__(self) -> str:
         return "BLANK"
 
+    def __reduce__(self) -> str:
+        return "BLANK"  # the one instance again, on executors as well
+
 
 BLANK = Blank()
 

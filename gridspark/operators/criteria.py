@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,23 +63,42 @@ def _ordered(a: Column, op: str, b: Column) -> Column:
     return {">": a > b, "<": a < b, ">=": a >= b, "<=": a <= b}[op]
 
 
-def count_equal(df: DataFrame, values: str, keys: str, name: str) -> DataFrame:
-    """COUNTIF(values, key of the row) for every row: counts by value (combined before the shuffle), joined back."""
-    counts = df.where(F.col(values).isNotNull()).groupBy(F.col(values).alias("_k")).agg(F.count("*").alias(name))
-    return df.join(counts, F.col(keys) == F.col("_k"), "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("double")).drop("_k")
-
-
-def count_below(df: DataFrame, values: str, keys: str, name: str, *, equal: bool = True, buckets: int = 64) -> DataFrame:
-    """COUNTIF(values, "<=" & key of the row), or "<" without equal, for every row: a running count over distinct values, in
-    runs with the totals of the runs before, joined back by an as-of step within the runs."""
-    counts = df.where(F.col(values).isNotNull()).groupBy(F.col(values).alias("_k")).agg(F.count("*").alias("_n"))
-    ends = ends_of(counts, "_k", buckets)
-    counts = counts.withColumn("_b", bucket_of(F.col("_k"), ends))
-    asked = df.where(F.col(keys).isNotNull()).select(F.col(keys).alias("_k")).distinct().select("_k", F.lit(0).cast("long").alias("_n"), bucket_of(F.col("_k"), ends).alias("_b"))
-    both = counts.unionByName(asked).groupBy("_b", "_k").agg(F.sum("_n").alias("_n"))
-    totals = both.groupBy("_b").agg(F.sum("_n").alias("_t"))
-    totals = totals.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0 if equal else -1)
-    both = both.withColumn("_i", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(totals), "_b")  # `buckets` rows at most
-    both = both.select(F.col("_k").alias("_key"), (F.col("_before") + F.col("_i")).cast("double").alias(name))
-    return df.join(both, F.col(keys) == F.col("_key"), "left").drop("_key").withColumn(name, F.coalesce(name, F.lit(0.0)))
+def by_row(df: DataFrame, source: DataFrame, pairs: Sequence[tuple[Column, str, Column]], measures: dict[str, tuple[str, Column]], *, asked: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+    """Adds measures of the rows of source that meet the criteria of each row of df: name to (count, sum, min or max; cells).
+
+    pairs are (column of source, operator, key of df): any number of "=", where blank meets blank, and at most one of <, <=, >
+    and >=, whose column is a number or a date and where blanks meet nothing. Rows without any match get null. Cells of
+    equal keys are combined before they move; an ordered criterion is a running measure over distinct keys, within runs of
+    them and with the measures of the runs before. df joins at the end by all its keys;
+    asked, if given, has the keys of all its rows and a shorter plan."""
+    merge = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+    made = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    equal, ordered = [p for p in pairs if p[1] == "="], [p for p in pairs if p[1] != "="]
+    if len(ordered) > 1:
+        raise ValueError("more than one ordered criterion that follows the row")
+    es = [f"_e{i}" for i in range(len(equal))]
+    keys = [v.alias(e) for e, (v, _, _) in zip(es, equal, strict=True)]
+    on = [k.eqNullSafe(F.col(e)) for e, (_, _, k) in zip(es, equal, strict=True)]
+    if ordered:
+        values, op, key = ordered[0]
+        keys, on = [*keys, values.alias("_k")], [*on, key == F.col("_k")]
+    cells = source.groupBy(*keys).agg(*(made[kind](c).alias(n) for n, (kind, c) in measures.items()))
+    if ordered:
+        cells = _running_cells(cells.where("_k is not null"), (df if asked is None else asked).where(key.isNotNull()).select(*(k.alias(e) for e, (_, _, k) in zip(es, equal, strict=True)), key.alias("_k")).distinct(), es, op, {n: merge[kind] for n, (kind, _) in measures.items()}, buckets)
+    return df.join(cells, reduce(lambda a, b: a & b, on), "left").drop(*es, "_k")
+
+
+def _running_cells(cells: DataFrame, asked: DataFrame, es: list[str], op: str, merge: dict[str, Any], buckets: int | None) -> DataFrame:
+    """Measures by es and _k turned into those of all keys up to each (or down to each), for the keys of both."""
+    ends = ends_of(cells, "_k", buckets or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = cells.unionByName(asked, allowMissingColumns=True).groupBy(*es, "_k").agg(*(f(n).alias(n) for n, f in merge.items())).withColumn("_b", bucket_of(F.col("_k"), ends))
+    way = F.asc if op[0] == "<" else F.desc
+    before = Window.partitionBy(*es).orderBy(way("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = both.groupBy(*es, "_b").agg(*(f(n).alias(n) for n, f in merge.items()))
+    totals = totals.select(*(F.col(e).alias(f"_t{e}") for e in es), F.col("_b").alias("_t"), *(f(n).over(before).alias(f"_t{n}") for n, f in merge.items()))
+    inside = Window.partitionBy(*es, "_b").orderBy(way("_k")).rowsBetween(Window.unboundedPreceding, 0 if op[1:] else -1)
+    both = both.select(*es, "_k", "_b", *(f(n).over(inside).alias(n) for n, f in merge.items()))
+    same = reduce(lambda a, b: a & b, [F.col(e).eqNullSafe(F.col(f"_t{e}")) for e in es], F.col("_b") == F.col("_t"))
+    both = both.join(totals if es else F.broadcast(totals), same)  # without es at most as many rows as buckets
+    combined = {n: F.coalesce(F.col(n) + F.col(f"_t{n}") if f is F.sum else F.least(n, f"_t{n}") if f is F.min else F.greatest(n, f"_t{n}"), F.col(n), F.col(f"_t{n}")) for n, f in merge.items()}
+    return both.select(*es, "_k", *(c.alias(n) for n, c in combined.items()))

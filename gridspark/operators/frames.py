@@ -7,6 +7,7 @@ total within the block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,27 +26,62 @@ def ends_of(df: DataFrame, key: str, buckets: int) -> list:
 
 
 def bucket_of(key: Column, ends: Sequence) -> Column:
-    """Number of ends not above key."""
+    """Number of ends not above key: first among every w-th end, then among the w that follow it."""
+    ends = [e if isinstance(e, Column) else F.lit(e) for e in ends]
     if not ends:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= key))
+    below = lambda a: F.size(F.filter(a, lambda e: e <= key))
+    if len(ends) <= 64:
+        return below(F.array(*ends))
+    w = math.isqrt(len(ends))
+    coarse = below(F.array(*ends[::w]))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * w + below(F.slice(F.array(*ends), (coarse - 1) * w + 1, F.lit(w))))
+
+
+def _sampled_ends(df: DataFrame, order: Sequence[str], buckets: int) -> list[Column]:
+    """Lower ends of runs of the whole order, of columns of any kind, from a sample of about 32 keys a run. They only deal out
+    rows: any ends give the same row numbers."""
+    rows = df.select(*order)
+    n = rows.count() if buckets > 1 else 0
+    if not n:
+        return []
+    kinds = {f.name: f.dataType for f in rows.schema}
+    found = rows.sample(fraction=min(1.0, 32 * buckets / n), seed=7).collect()
+    found.sort(key=lambda r: [(v is not None, v == v, v) if v is not None else (False,) for v in r])
+    picked = dict.fromkeys(tuple(found[len(found) * i // buckets]) for i in range(1, buckets)) if found else {}
+    return [F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, key, strict=True))) for key in picked]
 
 
 def with_rows(df: DataFrame, order: Sequence[str], *, dense: bool = False, buckets: int | None = None) -> DataFrame:
-    """Adds `_row`, 1 for the first in the order. dense: the one order column holds consecutive whole numbers, so nothing
-    has to be sorted; else the first order column deals the rows out to runs, which are numbered each and then moved."""
+    """Adds `_row`, 1 for the first in the order, nulls first. dense: the one order column holds consecutive whole numbers, so
+    nothing has to be sorted; else runs of the whole order, whatever the kinds of its columns and however many rows share
+    the first, are numbered each and then moved."""
     if dense:
         first = df.select(F.min(order[0]).alias("_first"))
         return df.crossJoin(F.broadcast(first)).withColumn(ROW, (F.col(order[0]) - F.col("_first") + 1).cast("long")).drop("_first")  # one row
-    kinds = dict(df.dtypes)
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numeric = kinds[order[0]] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[order[0]].startswith("decimal")
-    ends = ends_of(df, order[0], n) if numeric else []
-    run = df.withColumn("_run", F.when(F.col(order[0]).isNull(), F.lit(-1)).otherwise(bucket_of(F.col(order[0]), ends)))
+    ends = _sampled_ends(df, order, buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    run = df.withColumn("_run", bucket_of(F.struct(*order), ends))
     before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     starts = run.groupBy("_run").count().select("_run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     placed = run.withColumn(ROW, F.row_number().over(Window.partitionBy("_run").orderBy(*order)))
-    return placed.join(F.broadcast(starts), "_run").withColumn(ROW, F.col("_start") + F.col(ROW)).drop("_run", "_start")  # at most n + 1 rows
+    return placed.join(F.broadcast(starts), "_run").withColumn(ROW, F.col("_start") + F.col(ROW)).drop("_run", "_start")  # at most n rows
+
+
+def median_of(values: DataFrame, alias: str) -> DataFrame:
+    """One row: the median of the numbers of the first column, null if there are none. Counts by distinct value, in runs with
+    the counts of the runs before; only the one or two runs that hold the middle are put in order."""
+    counts = values.toDF("x").where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
+    ends = ends_of(counts, "x", int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = counts.withColumn("b", bucket_of(F.col("x"), ends))
+    runs, before = Window.orderBy("b"), Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy("b").agg(F.sum("n").alias("t")).select("b", "t", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("s"), F.sum("t").over(runs.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor((F.col("all") + 2) / 2)
+    held = totals.where((F.col("s") < high) & (F.col("s") + F.col("t") >= low))
+    inside = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    at = counts.join(F.broadcast(held), "b").withColumn("to", F.col("s") + F.sum("n").over(inside))  # two rows at most
+    of = lambda place: F.max(F.when((F.col("to") >= place) & (F.col("to") - F.col("n") < place), F.col("x")))
+    both = at.agg(of(low).alias("l"), of(high).alias("h"))
+    return both.select((F.col("l") + (F.col("h") - F.col("l")) * 0.5).alias(alias))
 
 
 def haloed(df: DataFrame, before: int, after: int, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -20,7 +20,7 @@ from gridspark import grammar as g
 from gridspark.functions.values import split_criterion
 from gridspark.model import RunClock, to_serial
 from gridspark.operators import criteria, lookups
-from gridspark.operators.frames import BLOCK_ROWS, ROW, block_window, haloed, running, with_rows
+from gridspark.operators.frames import BLOCK_ROWS, ROW, block_window, haloed, median_of, running, with_rows
 
 
 class NotCompilable(ValueError):
@@ -112,6 +112,13 @@ class Grid:
 
 AGGREGATES = {"SUM", "COUNT", "COUNTA", "MIN", "MAX", "AVERAGE", "COUNTBLANK", "MEDIAN", "MODE", "PRODUCT", "STDEV", "VAR", "LARGE", "SMALL", "SUMPRODUCT", "MINA", "MAXA", "AVERAGEA", "STDEVA", "VARA", "COUNTIF", "SUMIF", "AVERAGEIF", "COUNTIFS", "SUMIFS", "AVERAGEIFS", "MINIFS", "MAXIFS"}
 
+CRITERIA = {"COUNTIF", "SUMIF", "AVERAGEIF", "COUNTIFS", "SUMIFS", "AVERAGEIFS", "MINIFS", "MAXIFS"}
+
+
+def criteria_of(n: g.Call) -> tuple[g.Node, ...]:
+    """The criteria among the arguments of a function of criteria."""
+    return n.args[1:2] if n.name[-1] == "F" else n.args[1::2] if n.name == "COUNTIFS" else n.args[2::2]
+
 
 class Compiler:
     def __init__(self, grid: Grid):
@@ -162,7 +169,7 @@ class Compiler:
         names = g.calls(t)
         if own:
             return "prefix" if self._chain(t) else "ordered_fold"
-        if names & (g.LOOKUPS | {"INDEX"}) or any(not isinstance(a, (g.Num, g.Str, g.Bool)) for n in g.walk(t) if isinstance(n, g.Call) and n.name == "COUNTIF" for a in n.args[1:]):
+        if names & (g.LOOKUPS | {"INDEX"}) or any(not isinstance(a, (g.Num, g.Str, g.Bool, g.Unary)) for n in g.walk(t) if isinstance(n, g.Call) and n.name in CRITERIA for a in criteria_of(n)):
             return "join"
         if any(isinstance(n, g.Ref) and not n.abs_row and n.row for n in g.walk(t)) or any(isinstance(n, g.Range) and (n.top is not None and not n.flags[0] or n.bottom is not None and not n.flags[2]) and (n.top, n.bottom) != (0, 0) for n in g.walk(t)):
             return "window"
@@ -589,8 +596,12 @@ class Compiler:
         if name == "MODE":
             top = self.mode_of(x, sheet)
             return Val(top[0], "number", first_error(err, F.when(F.coalesce(top[1], F.lit(0)) < 2, F.lit("Na"))))
+        if name == "MEDIAN":
+            alias = self.fresh("d")
+            self.df = self.df.crossJoin(F.broadcast(median_of(self.rows_of({letters[0]}, sheet).select(x), alias)))  # one row
+            return Val(F.col(alias), "number", first_error(err, F.when(n < 1, F.lit("Num"))))
         made = {
-            "MEDIAN": (F.median(x), "Num", 1), "PRODUCT": (F.coalesce(F.product(x), F.lit(0.0)), None, 0), "STDEV": (F.stddev_samp(x), "Div", 2), "VAR": (F.var_samp(x), "Div", 2),
+            "PRODUCT": (F.coalesce(F.product(x), F.lit(0.0)), None, 0), "STDEV": (F.stddev_samp(x), "Div", 2), "VAR": (F.var_samp(x), "Div", 2),
             "MINA": (F.coalesce(F.min(x), F.lit(0.0)), None, 0), "MAXA": (F.coalesce(F.max(x), F.lit(0.0)), None, 0), "AVERAGEA": (F.avg(x), "Div", 1), "STDEVA": (F.stddev_samp(x), "Div", 2), "VARA": (F.var_samp(x), "Div", 2),
         }
         c, kind, least = made[name]
@@ -629,7 +640,7 @@ class Compiler:
         for rng, crit in zip(pairs[::2], pairs[1::2], strict=True):
             c = self.expr(crit) if isinstance(crit, (g.Num, g.Str, g.Bool, g.Unary)) else None
             if c is None or c.constant is None:
-                return self.by_row(name, args)
+                return self.by_row(name, args, list(zip(pairs[::2], pairs[1::2], strict=True)), values)
             sheet, letters, _ = self.area(rng)
             sheets.append(sheet)
             if len(letters) != 1:
@@ -655,21 +666,83 @@ class Compiler:
         c = self.agg(values, _maker(kind, lambda c, k, rows: F.when(rows & where, c.cast("double"))), F.least if kind == "min" else F.greatest)
         return Val(F.coalesce(c, F.lit(0.0)), "number", self.errors_in((values,)))
 
-    def by_row(self, name: str, args: tuple[g.Node, ...]) -> Val:
-        """COUNTIF with a criterion that follows the row: of equal keys, or "<=" and "<" joined to a key."""
-        if name != "COUNTIF":
-            raise NotCompilable(f"{name} with a criterion that follows the row")
-        sheet, letters, r = self.area(args[0])
-        if sheet is not None or len(letters) != 1 or self.over(r, sheet)[0] != "fixed":
-            raise NotCompilable("a criterion that follows the row needs one whole column")
-        crit, op = args[1], "="
-        if isinstance(crit, g.Op) and crit.op == "&" and isinstance(crit.left, g.Str) and crit.left.value in ("<=", "<", "="):
-            op, crit = crit.left.value, crit.right
-        if not isinstance(crit, g.Ref) or crit.row or crit.abs_row:
-            raise NotCompilable("a criterion that is no cell of the row")
-        values, key, alias = self.grid.columns[letters[0]], self.grid.columns[g.col_letters(self.column_of(crit.col, crit.abs_col))], self.fresh("c")
-        self.df = criteria.count_equal(self.df, values, key, alias) if op == "=" else criteria.count_below(self.df, values, key, alias, equal=op == "<=")
-        return Val(F.col(alias), "number")
+    def by_row(self, name: str, args: tuple[g.Node, ...], where: list[tuple[g.Node, g.Node]], values: g.Node) -> Val:
+        """A function of criteria of which some follow the row: equal keys are joined, an ordered one is a running measure."""
+        sheet, _, r = self.area(where[0][0])
+        how, rows = self.over(r, sheet)
+        if how != "fixed":
+            raise NotCompilable("a criterion that follows the row over a moving range")
+        pairs, turned, read, keyed = [], False, set(), set()
+        for rng, crit in where:
+            other, letters, n = self.area(rng)
+            if other is not sheet or len(letters) != 1 or (n.top, n.bottom) != (r.top, r.bottom):
+                raise NotCompilable("criteria that follow the row need columns of the same rows")
+            v = self.source(letters[0], sheet)
+            read.add(letters[0])
+            constant = self.expr(crit) if isinstance(crit, (g.Num, g.Str, g.Bool, g.Unary)) else None
+            if v.err is not None:
+                raise NotCompilable("criteria over a column that holds errors")
+            if constant is not None and constant.constant is not None:
+                rows = rows & criteria.predicate(v.value, v.kind, constant.constant)
+                continue
+            joined = isinstance(crit, g.Op) and crit.op == "&" and isinstance(crit.left, g.Str) and crit.left.value in ("<=", "<", "=", ">", ">=", "<>")
+            op, cell = (crit.left.value, crit.right) if joined else ("=", crit)
+            if not isinstance(cell, g.Ref) or cell.row or cell.abs_row or cell.sheet is not None:
+                raise NotCompilable("a criterion that is no cell of the row")
+            key = self.cell(cell)
+            keyed.add(g.col_letters(self.column_of(cell.col, cell.abs_col)))
+            if key.err is not None or key.kind != v.kind or v.kind not in ("number", "text") and (joined or v.kind not in ("date", "bool")) or v.kind == "text" and op[0] in "<>" and op != "<>":
+                raise NotCompilable(f"a criterion of kind {key.kind} that follows the row over cells of kind {v.kind}")
+            turned = turned or op == "<>"
+            pairs.append((*self._keys(v, key, joined, self.rows_of(keyed)), "=" if op == "<>" else op))
+        if turned and (len(pairs) > 1 or name.startswith(("MIN", "MAX")) or not name.startswith("COUNT") and self.grid.decimals is None) or sum(op != "=" for *_, op in pairs) > 1:
+            raise NotCompilable("criteria of several kinds that follow the row")
+        a, b = self.fresh("c"), self.fresh("c")
+        if name.startswith("COUNT"):
+            measures = {a: ("count", F.lit(1))}
+        else:
+            other, letters, n = self.area(values)
+            v = self.source(letters[0], sheet)
+            if other is not sheet or len(letters) != 1 or (n.top, n.bottom) != (r.top, r.bottom) or v.err is not None or v.kind != "number":
+                raise NotCompilable(f"{name} needs a column of numbers of the same rows")
+            measures = {a: ("sum", self._exact(v.value.cast("double"))), b: ("count", v.value)} if name[:3] not in ("MIN", "MAX") else {a: (name[:3].lower(), v.value.cast("double"))}
+        base = self.rows_of({*read, *([letters[0]] if not name.startswith("COUNT") else [])}, sheet).where(rows)
+        self.df = criteria.by_row(self.df, base, [(v, op, k) for v, k, op in pairs], measures, asked=self.rows_of(keyed))
+        zero = lambda x: F.coalesce(F.col(x), F.lit(0))
+        found = {x: zero(x) for x in measures}
+        if turned:  # all less those that are equal
+            made = {"count": F.count, "sum": F.sum}
+            found = {x: F.coalesce(self.scalar_over(base, made[kind](c)), F.lit(0)) - found[x] for x, (kind, c) in measures.items()}
+        if name.startswith("AVERAGE"):
+            n = found[b].cast("double")
+            return Val(F.try_divide(found[a].cast("double"), n), "number", F.when(n == 0, F.lit("Div")))
+        return Val(found[a].cast("double"), "number")
+
+    def scalar_over(self, rows: DataFrame, c: Column) -> Column:
+        alias = self.fresh("s")
+        self.df = self.df.crossJoin(F.broadcast(rows.agg(c.alias(alias))))  # one row
+        return F.col(alias)
+
+    def rows_of(self, letters: set[str], sheet: Grid | None = None) -> DataFrame:
+        """Rows that hold these columns: the table as given, where that has them, so that plans of many formulas stay short."""
+        if sheet is not None:
+            return sheet.numbered()
+        return self.df if letters & set(self.grid.formulas) else self.grid.numbered()
+
+    def _keys(self, v: Val, key: Val, joined: bool, asked: DataFrame) -> tuple[Column, Column]:
+        """Cells and keys as columns that are equal where the criterion is met. Texts compare without case; a blank key after an
+        operator meets blanks, alone it meets empty texts too."""
+        if v.kind == "number":
+            return v.value.cast("double"), key.value.cast("double")
+        if v.kind != "text":
+            return v.value, key.value
+        k = key.value
+        written = k.rlike(r"[*?~]") | k.rlike(r"^[<>=]") | k.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*%?\s*$") | k.rlike(r"^\s*[0-9]{4}-?(W|[0-9]{2})") | F.upper(k).isin("TRUE", "FALSE")
+        if not asked.where(written).select(F.lit(1)).isEmpty():
+            raise NotCompilable("a moving text criterion that is a pattern, a comparison or a number")
+        low = F.lower(v.value)
+        cells = F.when(v.value.isNull(), F.lit("")).when(v.value != "", low) if joined else F.coalesce(low, F.lit(""))
+        return cells, F.coalesce(F.lower(k), F.lit(""))
 
     # functions
 

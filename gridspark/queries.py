@@ -146,6 +146,7 @@ aggregate("A12_averageif", {"v": '=AVERAGEIF(S!C:C,"1*",S!B:B)', "w": '=AVERAGEI
 SQL["A12_averageif"] = "SELECT r_regionkey, (SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) FROM orders WHERE o_orderpriority ILIKE '1%') AS v, NULL::DOUBLE AS w, 'Div' AS w_err FROM region"
 aggregate("A13_minifs_maxifs", {"v": '=MAXIFS(S!B:B,S!E:E,"F")', "w": '=MINIFS(S!B:B,S!E:E,"O",S!A:A,">100")'}, {"v": "max(o_totalprice) FILTER (WHERE o_orderstatus = 'F')", "w": "min(o_totalprice) FILTER (WHERE o_orderstatus = 'O' AND o_orderkey > 100)"})
 aggregate("A14_median", {"v": "=MEDIAN(S!C:C)"}, {"v": "median(l_quantity)"}, "lineitem")
+aggregate("A14_median_wide", {"v": "=MEDIAN(S!D:D)"}, {"v": "median(l_extendedprice)"}, "lineitem")
 aggregate("A16_product", {"v": "=PRODUCT(S!F$1:F$5)"}, {"v": "CAST(product(p_size) FILTER (WHERE p_partkey < 5) AS DOUBLE)"}, "part")
 aggregate("A17_sumproduct", {"v": "=SUMPRODUCT(S!D:D,S!E:E)"}, {"v": "CAST(sum(CAST(l_extendedprice * l_discount AS DECIMAL(28,4))) AS DOUBLE)"}, "lineitem")
 aggregate("A18_large_small", {"v": "=LARGE(S!B:B,3)", "w": "=SMALL(S!B:B,2)"}, {"v": "list(o_totalprice ORDER BY o_totalprice DESC)[3]", "w": "list(o_totalprice ORDER BY o_totalprice)[2]"})
@@ -269,6 +270,23 @@ def j9(spark: SparkSession, d: str) -> DataFrame:
 
 formula("J10_countif_row", events, EK, {"v": "=COUNTIF(C:C,C1)"}, "SELECT event_id, CAST(count(*) OVER (PARTITION BY event_type) AS DOUBLE) AS v FROM events")
 formula("J10_countif_le", orders, OK, {"v": '=COUNTIF(B:B,"<="&B1)', "w": '=COUNTIF(B:B,"<"&B1)'}, "SELECT o_orderkey, CAST(count(*) OVER w AS DOUBLE) AS v, CAST(rank() OVER (ORDER BY o_totalprice) - 1 AS DOUBLE) AS w FROM orders WINDOW w AS (ORDER BY o_totalprice RANGE UNBOUNDED PRECEDING)")
+RUN = "RANGE UNBOUNDED PRECEDING"
+formula("J10_sumif_row", events, EK, {"v": "=SUMIF(C:C,C1,B:B)", "w": "=AVERAGEIF(D:D,D1,B:B)"}, "SELECT event_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY event_type) AS DOUBLE) AS v, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER u AS DOUBLE) / count(value) OVER u AS w FROM events WINDOW u AS (PARTITION BY user_id)")
+formula("J10_countif_ge", orders, OK, {"v": '=COUNTIF(B:B,">="&B1)', "w": '=COUNTIF(B:B,">"&B1)', "x": '=COUNTIF(E:E,"<>"&E1)'}, f"SELECT o_orderkey, CAST(count(*) OVER w AS DOUBLE) AS v, CAST(rank() OVER w - 1 AS DOUBLE) AS w, CAST(count(*) OVER () - count(*) OVER (PARTITION BY o_orderstatus) AS DOUBLE) AS x FROM orders WINDOW w AS (ORDER BY o_totalprice DESC {RUN})")
+formula("J10_ifs_row", orders, OK, {"v": '=SUMIFS(B:B,E:E,E1,B:B,"<="&B1)', "w": '=COUNTIFS(F:F,F1,B:B,">"&B1)', "x": '=MAXIFS(B:B,F:F,F1,B:B,"<50000")'}, f"SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice {RUN}) AS DOUBLE) AS v, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) - 1 AS DOUBLE) AS w, CAST(coalesce(max(CASE WHEN o_totalprice < 50000 THEN o_totalprice END) OVER (PARTITION BY o_custkey), 0) AS DOUBLE) AS x FROM orders")
+
+
+@query("J10_other_sheet", "SELECT c_custkey, CAST(coalesce(s, 0) AS DOUBLE) AS v, CAST(coalesce(n, 0) AS DOUBLE) AS w FROM customer LEFT JOIN (SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS s, count(*) AS n FROM orders GROUP BY o_custkey) AS o ON o_custkey = c_custkey")
+def j10_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's sum and number of orders, which stand on another sheet."""
+    g = Grid(table(spark, d, "customer").select("c_custkey"), {"A": "c_custkey"}, ["c_custkey"], dense=True, decimals=2, others={"Orders": orders(spark, d)})
+    return g.fill("T", "=SUMIF(Orders!F:F,A1,Orders!B:B)", name="v").fill("U", "=COUNTIF(Orders!F:F,A1)", name="w").run().select("c_custkey", "v", "w")
+
+
+@query("A23_text_order", "SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) AS _row FROM part")
+def a23_text(spark: SparkSession, d: str) -> DataFrame:
+    """Row numbers by a text that many rows share, then a number."""
+    return frames.with_rows(table(spark, d, "part").select("p_partkey", "p_brand"), ["p_brand", "p_partkey"]).select("p_partkey", ROW)
 
 # dynamic arrays
 
@@ -353,12 +371,19 @@ def o13(spark: SparkSession, d: str) -> DataFrame:
     return arrays.text_split(block(spark, d), "p_name", " ").select(ROW, "value", "part_col")
 
 
-@query("O14_spill", None)
+O14_SQL = """WITH a AS (SELECT r_regionkey AS k, CAST(r_regionkey * 2 + 1 AS INTEGER) AS col, list(n_name ORDER BY n_nationkey) AS names FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL),
+b AS (SELECT *, k = 1 AND len(names) >= 3 AS blocked FROM a)
+SELECT 1 AS sheet, CAST(i AS INTEGER) AS "row", col, names[i] AS value, CASE WHEN i = 1 THEN 'anchor' ELSE 'spill' END AS kind FROM (SELECT col, names, unnest(range(1, len(names) + 1)) AS i FROM b WHERE NOT blocked)
+UNION ALL SELECT 1, 1, col, NULL, 'error' FROM b WHERE blocked"""
+
+
+@query("O14_spill", O14_SQL)
 def o14(spark: SparkSession, d: str) -> DataFrame:
-    """Two arrays of which one is blocked by a value."""
-    anchors = spark.createDataFrame([(1, 1, 2, [["10"], ["20"], ["30"]]), (1, 1, 5, [["a", "b"], ["c", "d"]])], "sheet int, row int, col int, cells array<array<string>>")
-    taken = spark.createDataFrame([(1, 2, 6)], "sheet int, row int, col int")
-    return arrays.spilled(spark, anchors, taken)
+    """Each region's nations as an array that spills down its column; that of region 1 is blocked by a value in row 3."""
+    names = table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))  # 25 rows in all
+    own = table(spark, d, "region").join(names, F.col("n_regionkey") == F.col("r_regionkey"))
+    anchors = own.select(F.lit(1).alias("sheet"), F.lit(1).alias("row"), (F.col("r_regionkey") * 2 + 1).cast("int").alias("col"), F.transform("n", lambda x: F.array(x["n_name"])).alias("cells"))
+    return arrays.spilled(spark, anchors, spark.createDataFrame([(1, 3, 3)], "sheet int, row int, col int"))
 
 
 @query("O18_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 8")
@@ -422,7 +447,9 @@ def d8(spark: SparkSession, d: str) -> DataFrame:
     return components.extents(cells).select("component", "cells")
 
 
-@query("S2_xlsx", None)
+@query("S2_xlsx", """WITH n AS (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS INTEGER) AS r, * FROM nation)
+SELECT 0 AS sheet, 'Nation' AS sheet_name, r AS "row", 1 AS col, 'number' AS kind, CAST(n_nationkey AS DOUBLE) AS number, NULL::VARCHAR AS text, NULL::VARCHAR AS formula FROM n
+UNION ALL SELECT 0, 'Nation', r, 2, 'text', NULL, n_name, NULL FROM n UNION ALL SELECT 0, 'Nation', r, 3, 'number', 0.0, NULL, '=A' || r || '*2' FROM n""")
 def s2(spark: SparkSession, d: str) -> DataFrame:
     """A workbook made of the nations, read back as cells by the data source."""
     from gridspark.sources.xlsx import read_cells
@@ -430,10 +457,10 @@ def s2(spark: SparkSession, d: str) -> DataFrame:
 
     rows = table(spark, d, "nation").orderBy("n_nationkey").collect()  # a fixed table of 25 rows
     cells = {f"A{i}": float(r["n_nationkey"]) for i, r in enumerate(rows, 1)} | {f"B{i}": r["n_name"] for i, r in enumerate(rows, 1)} | {f"C{i}": f"=A{i}*2" for i in range(1, len(rows) + 1)}
-    return read_cells(spark, new_file(spark, "nations.xlsx", {"Nation": cells}))
+    return read_cells(spark, new_file(spark, "nations.xlsx", {"Nation": cells})).select("sheet", "sheet_name", "row", "col", "kind", "number", "text", "formula")
 
 
-@query("API1_rows", None)
+@query("API1_rows", """SELECT 'Nation' AS sheet, CAST(row_number() OVER (ORDER BY n_nationkey) AS INTEGER) AS "row", '{"key":' || CAST(CAST(n_nationkey AS DOUBLE) AS VARCHAR) || ',"share":' || CAST(n_nationkey / sum(CAST(n_nationkey AS DOUBLE)) OVER () AS VARCHAR) || '}' AS cells FROM nation""")
 def api1(spark: SparkSession, d: str) -> DataFrame:
     """The same workbook evaluated: rows as JSON."""
     from gridspark.api import eval_rows
@@ -445,9 +472,17 @@ def api1(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(found, "sheet string, row int, key double, share double").select("sheet", "row", F.to_json(F.struct("key", "share")).alias("cells"))
 
 
-@query("BM2_wide_sheet", None)
+BM2_SQL = """SELECT l_orderkey, l_linenumber, l_quantity * 2 AS f0, l_extendedprice * (1 - l_discount) AS f1, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS f2,
+CASE WHEN l_quantity > 25 THEN l_extendedprice ELSE 0 END AS f3, CASE WHEN l_tax = 0 THEN 0 ELSE l_quantity / l_tax END AS f4, CAST(round(CAST(CAST(l_extendedprice / l_quantity AS VARCHAR) AS DECIMAL(38, 17)), 2) AS DOUBLE) AS f5,
+l_returnflag || '-' || l_linenumber AS f6, CAST(l_orderkey % 7 AS DOUBLE) AS f7, abs(l_extendedprice - 30000) AS f8, floor(l_extendedprice) AS f9, l_quantity > 10 AND l_discount < 0.05 AS f10,
+upper(l_returnflag) AS f11, l_extendedprice / 100 AS f12, -l_quantity AS f13, CAST(length(l_returnflag) AS DOUBLE) AS f14, l_extendedprice / CAST(t AS DOUBLE) AS f15, l_extendedprice / (CAST(t AS DOUBLE) / n) AS f16,
+CAST(r AS DOUBLE) AS f17, CAST(q AS DOUBLE) AS f18, p_retailprice AS f19, CAST(p_size AS DOUBLE) AS f20
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey, (SELECT sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS t, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18,2))) FILTER (WHERE l_returnflag = 'R') AS r, count(*) FILTER (WHERE l_quantity > 25) AS q FROM lineitem)"""
+
+
+@query("BM2_wide_sheet", BM2_SQL)
 def bm2(spark: SparkSession, d: str) -> DataFrame:
-    return benchmark_sheet(spark, d).run()
+    return benchmark_sheet(spark, d).run().select("l_orderkey", "l_linenumber", *(f"f{i}" for i in range(21)))
 
 
 def benchmark_sheet(spark: SparkSession, d: str) -> Grid:

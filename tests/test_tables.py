@@ -1,13 +1,17 @@
 """Queries against DuckDB, and operators on small tables cut into small blocks."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark import api
 from gridspark.operators import criteria, frames, lookups
 from gridspark.operators.frames import ROW
 from gridspark.plans.compile import Grid, NotCompilable
 from gridspark.queries import QUERIES, SQL
+from gridspark.sources.xlsx_builder import workbook
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -101,6 +105,63 @@ def test_criteria(spark):
     assert [count(c) for c in ("1", "1*", "a~*c", "a?c", "", "<>", "<>1", ">a")] == [1, 2, 1, 2, 2, 5, 5, 2]
 
 
+def test_row_criteria_equal_the_whole_file_run(spark):
+    """Every function of criteria that follow the row, over blanks, ties and both cases, as the interpreter gives them."""
+    rows = [(1, 3.0, "a", 1.0), (2, None, "B", 2.0), (3, 3.0, None, 4.0), (4, 1.0, "A", 8.0), (5, 7.5, "d", 16.0), (6, 1.0, "b", None), (7, -2.0, "c", 64.0)]
+    formulas = ["COUNTIF(B:B,B1)", 'COUNTIF(B:B,"<"&B1)', 'COUNTIF(B:B,">="&B1)', 'COUNTIF(B:B,"<>"&B1)', "COUNTIF(C:C,C1)", 'COUNTIF(C:C,"="&C1)', 'COUNTIF(C:C,"<>"&C1)', "SUMIF(C:C,C1,D:D)", 'SUMIF(B:B,">"&B1,D:D)', "SUMIF(B:B,B1)",
+                'SUMIFS(D:D,C:C,C1,B:B,"<="&B1)', 'COUNTIFS(C:C,C1,D:D,">3")', "AVERAGEIF(C:C,C1,D:D)", 'MAXIFS(D:D,B:B,"<="&B1)', "MINIFS(D:D,C:C,C1)", "COUNTIF(B$2:B$5,B1)"]
+    df = spark.createDataFrame(rows, "k long, b double, c string, d double").repartition(3)
+    g = Grid(df, {"A": "k", "B": "b", "C": "c", "D": "d"}, ["k"], dense=True, decimals=2)
+    for i, f in enumerate(formulas):
+        g.fill(f"E{chr(65 + i)}", "=" + f, name=f"f{i}")
+    assert {r["strategy"] for r in g.explain()} == {"join"}
+    got = {r["k"]: r.asDict() for r in g.run().collect()}
+    cells = {f"{l}{r[0]}": v for r in rows for l, v in zip("ABCD", r, strict=True) if v is not None}
+    moved = {f"{'EFGHIJKLMNOPQRST'[i]}{r[0]}": "=" + re.sub(r"(?<![$A-Z:])([BC])1\b", rf"\g<1>{r[0]}", f) for i, f in enumerate(formulas) for r in rows}
+    sheet = api.eval_grid(workbook({"S": cells | moved}), spark=spark)["S"]
+    for i, f in enumerate(formulas):
+        for at, r in enumerate(rows):
+            want, have = sheet[at][4 + i], got[r[0]][f"f{i}"]
+            assert have == want if isinstance(want, float) else have is None and got[r[0]][f"f{i}_err"] == "Div", (f, r, want, have)
+
+
+def test_row_criteria_tell_empty_texts_from_blanks(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "k long, c string")
+    g = Grid(df, {"A": "k", "B": "c"}, ["k"], dense=True).fill("T", "=COUNTIF(B:B,B1)", name="v").fill("U", '=COUNTIF(B:B,"="&B1)', name="w")
+    assert sorted((r["k"], r["v"], r["w"]) for r in g.run().collect()) == [(1, 2.0, 1.0), (2, 2.0, 1.0), (3, 1.0, 1.0)]
+
+
+def test_row_criteria_refused(spark):
+    df = spark.createDataFrame([(1, "a*", 1.0), (2, "b", 2.0)], "k long, c string, d double")
+    grid = lambda f: Grid(df, {"A": "k", "B": "c", "C": "d"}, ["k"], dense=True).fill("T", f)
+    for f in ("=COUNTIF(B:B,B1)", '=COUNTIF(B:B,"<"&B1)', "=COUNTIF(B:B,C1)", '=COUNTIFS(C:C,"<"&C1,A:A,">"&A1)', '=SUMIF(C:C,"<>"&C1)'):
+        with pytest.raises(NotCompilable):
+            grid(f).run()
+
+
+def test_row_numbers_of_any_kind(spark):
+    import datetime as dt
+    import random
+
+    r = random.Random(3)
+    for kind, make in {"string": lambda: r.choice(["", "a", "ab", "é", "Z"]), "date": lambda: dt.date(2020, 1, r.randint(1, 5)), "double": lambda: float(r.randint(-3, 3)), "boolean": lambda: r.random() < 0.5}.items():
+        rows = [(None if r.random() < 0.2 else make(), i) for i in range(300)]
+        df = spark.createDataFrame(rows, f"x {kind}, i long").repartition(5)
+        got = frames.with_rows(df, ["x", "i"], buckets=70).collect()
+        want = sorted(rows, key=lambda t: ((t[0] is not None, t[0]) if t[0] is not None else (False,), t[1]))
+        assert [(t["x"], t["i"]) for t in sorted(got, key=lambda t: t[ROW])] == want and sorted(t[ROW] for t in got) == list(range(1, 301))
+    assert frames.with_rows(df.limit(0), ["x", "i"]).count() == 0
+
+
+def test_median(spark):
+    import statistics
+
+    for xs in ([], [None], [4.0], [1.0, 2.0], [5.0] * 9 + [1.0, None], [float(i % 37) for i in range(500)], [1.5, -2.0, 9.0, 9.0]):
+        values = spark.createDataFrame([(x,) for x in xs], "x double")
+        kept = [x for x in xs if x is not None]
+        assert frames.median_of(values, "m").collect()[0]["m"] == (statistics.median(kept) if kept else None)
+
+
 def test_strategies(spark):
     g = small(spark).fill("T", "=B1*2").fill("U", "=SUM(B1:B3)").fill("V", "=V1+B2", at=2).fill("W", "=VLOOKUP(A1,A:B,2,FALSE)").fill("X", "=IF(X1>3,B2,X1*B2)", at=2)
     assert {r["column"]: r["strategy"] for r in g.explain()} == {"T": "columnar", "U": "window", "V": "prefix", "W": "join", "X": "ordered_fold"}
