@@ -18,6 +18,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+SIEVE_BITS, SIEVE_WORDS = 16, 1 << 19
+
 _written: dict[str, SparkSession] = {}
 
 
@@ -50,6 +52,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sieved(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key (a long) may stand in the written table keys, and those whose key surely doesn't.
+
+    The keys' bits, SIEVE_BITS a key up to SIEVE_WORDS words of 64, are broadcast, so that a join need not move the rows
+    that it can't match. With very many keys more rows pass, none is ever lost."""
+    name = keys.columns[0]
+    words = min(SIEVE_WORDS, 1 + keys.count() * SIEVE_BITS // 64)
+    word, bit = clear_name(df, "sieve_word"), clear_name(df, "sieve_bits")
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(64 * words))
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), place(k).bitwiseAND(F.lit(63)).cast("int"))
+    bits = keys.select(F.shiftright(place(F.col(name)), 6).alias(word), one(F.col(name)).alias(bit))
+    bits = F.broadcast(bits.groupBy(word).agg(F.bit_or(bit).alias(bit)))  # SIEVE_WORDS rows at most
+    hit = (F.shiftright(place(key), 6) == bits[word]) & (bits[bit].bitwiseAND(one(key)) != 0)
+    return df.join(bits, hit, "left_semi"), df.join(bits, hit, "left_anti")
+
+
 def release() -> None:
     """Drops the tables that this driver has written. Call it when no result that reads them is needed any more."""
     for path, spark in list(_written.items()):

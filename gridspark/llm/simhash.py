@@ -16,11 +16,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.llm._common import field, written
+from gridspark.llm._common import field, sieved, written
 from gridspark.llm.components import components
 
 SEED = 42
@@ -138,6 +139,14 @@ def alike(sets: list[np.ndarray], home: np.ndarray | None = None) -> tuple[np.nd
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def _node(h: np.ndarray) -> int:
+    """Number of a set of shingles: the hash of its hashes, as a signed long."""
+    from xxhash import xxh64_intdigest
+
+    x = xxh64_intdigest(h.tobytes(), SEED)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, text_hash, print) of each row: print is the fingerprint as a signed long. No shuffle."""
 
@@ -308,29 +317,37 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     A node is a set of shingles. Wide fingerprints propose: a tile is the nodes that share one of MINIMA least hashes, in a
     tile those radius bits or fewer apart are found as in `near_groups`. Within the components of what is proposed, the
-    sets themselves decide. A pair at 0.8 shares no minimum in 1 of 15,000 cases, and is seldom more than radius bits apart."""
+    sets themselves decide. A pair at 0.8 shares no minimum in 1 of 15,000 cases, and is seldom more than radius bits apart.
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+    Sets take more room than the texts, so only those of proposed nodes are kept: they are made anew from one text of each,
+    and no other text is moved."""
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, out = b.column("text").cast(pa.binary()), []
+            for t in texts:
+                h = shingle_set(t.as_py(), width)
+                out.append((*wide_fingerprint(h), _node(h)))
+            bits, minima, nodes = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), b.column("key"), pa.array(bits, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(nodes, pa.int64())], [f.name for f in schema])
+
+    def remade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hashes, texts = b.column(0), b.column(2), b.column(1).cast(pa.binary())
-            at, held, out = 0, 0, []
+            texts, at, held, sets = b.column("text").cast(pa.binary()), 0, 0, []
             for i in range(b.num_rows):
-                h = shingle_set(texts[i].as_py(), width)
-                whole = h.tobytes()
-                out.append((*wide_fingerprint(h), whole, xxh64_intdigest(whole, SEED)))
-                held += len(whole)
+                sets.append(shingle_set(texts[i].as_py(), width))
+                held += sets[-1].nbytes
                 if held >= SET_BYTES or i + 1 == b.num_rows:  # results in batches of bounded bytes
-                    bits, minima, sets, nodes = zip(*out, strict=True)
-                    node = np.array(nodes, np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([ids[at : i + 1], hashes[at : i + 1], pa.array(bits, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(node)], [f.name for f in schema])
-                    at, held, out = i + 1, 0, []
-
-    schema = T.StructType([field(docs, id_col, "id"), T.StructField("text_hash", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("minima", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType()), T.StructField("node", T.LongType())])
-    prints = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).mapInArrow(made, schema)
-    prints = written(prints.withColumn("row", F.monotonically_increasing_id()), "wide-prints")
-    nodes = prints.groupBy("node").agg(F.min("bits").alias("bits"), F.min("minima").alias("minima"), F.min("row").alias("row"))
+                    own = pa.array([_node(h) for h in sets], pa.int64())
+                    out = pa.RecordBatch.from_arrays([b.column("node")[at : i + 1], b.column("root")[at : i + 1], pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "root", "shingles"])
+                    yield out.filter(pc.equal(own, out.column("node")))
+                    at, held, sets = i + 1, 0, []
+
+    long = T.LongType()
+    schema = T.StructType([field(docs, id_col, "id"), T.StructField("text_hash", long), T.StructField("key", long), T.StructField("bits", T.BinaryType()), T.StructField("minima", T.ArrayType(long)), T.StructField("node", long)])
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), F.xxhash64(id_col, text_col).alias("key"))
+    prints = written(slim.mapInArrow(made, schema), "wide-prints")
+    nodes = prints.groupBy("node").agg(F.min("bits").alias("bits"), F.min("minima").alias("minima"), F.min("key").alias("key"))
     nodes = written(nodes, "wide-nodes")
     visits = nodes.select("node", "bits", F.posexplode("minima").alias("order", "least")).select("node", "bits", F.lit(0).alias("pos"), F.xxhash64("order", "least").alias("tile"))
     visits = written(visits, "visits")
@@ -338,8 +355,10 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     visits = visits.join(sizes.where("count > 1").select("tile"), "tile", "left_semi")
     full = sizes.where(F.col("count") > chunk_rows).select("tile", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks"))
     proposed = components(compared(visits, full, radius))
-    few = written(nodes.select("node", "row").join(proposed, "node").select("row", "node", "root"), "proposed")
-    sets = written(prints.select("row", "shingles").join(few, "row").select("node", "root", "shingles"), "sets")
+    few = written(nodes.select("node", "key").join(proposed, "node").select("key", "node", "root"), "proposed")
+    maybe, _ = sieved(slim.select("key", "text"), F.col("key"), few.select("key"))
+    texts = maybe.groupBy("key").agg(F.min("text").alias("text")).join(few, "key").select("node", "root", "text")
+    sets = written(texts.mapInArrow(remade, "node long, root long, shingles binary"), "sets")
     roots = components(verified(sets, set_rows=set_rows, set_bytes=set_bytes)).withColumnRenamed("node", "linked")
     return prints.join(roots, F.col("node") == F.col("linked"), "left").select("id", "text_hash", F.coalesce("root", "node").alias("group"))
 
@@ -353,13 +372,15 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     same = found.groupBy("id", "text_hash").agg(F.count("*").alias("copies"))
     on = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
     gone = same.alias("s").join(stay.alias("k"), on("s", "k"), "left_anti").select(F.col("id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
-    rows = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(docs[text_col]) == gone["__gone_hash"]), "left_anti")
+    gone = written(gone, "gone")
+    maybe, rest = sieved(docs, F.xxhash64(F.col(id_col), F.xxhash64(text_col)), gone.select(F.xxhash64("__gone_id", "__gone_hash").alias("key")))
+    rows = maybe.join(gone, maybe[id_col].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(maybe[text_col]) == gone["__gone_hash"]), "left_anti").unionByName(rest)
     # rows that stay and are equal in id and text: seldom any
     again = same.alias("s").where("copies > 1").join(stay.alias("k"), on("s", "k"), "left_semi").select(F.col("id").alias("__again_id"), F.col("text_hash").alias("__again_hash"))
     again = written(again, "again")
     if again.isEmpty():
         return rows
-    match = docs[id_col].eqNullSafe(again["__again_id"]) & (F.xxhash64(docs[text_col]) == again["__again_hash"])
+    match = rows[id_col].eqNullSafe(again["__again_id"]) & (F.xxhash64(rows[text_col]) == again["__again_hash"])
     more = rows.join(again, match).dropDuplicates(["__again_id", "__again_hash"]).select(docs.columns)
     return rows.join(again, match, "left_anti").unionByName(more)
 

@@ -12,7 +12,7 @@ The softmax of a mean is linear in its words, so a trained model is one number a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.llm._common import field
+from gridspark.llm._common import field, written
 
 BUCKETS = 1 << 18
 DIMENSIONS = 8
@@ -102,7 +102,7 @@ def strongest(scores: np.ndarray, codes: np.ndarray, plain: float = 0.0, window:
     return float(runs[i]) / window, i
 
 
-def fit(texts: list[str], labels: list[int], check: list[bool], *, seed: int = 0, epochs: int = EPOCHS) -> Model:
+def fit(texts: Iterable[str | None], labels: list[int], check: list[bool], *, seed: int = 0, epochs: int = EPOCHS) -> Model:
     """Fits on the texts not marked as `check`; those set the bias, so that a score of 0.5 parts the classes best."""
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
@@ -211,20 +211,38 @@ def fold(id_: Column) -> Column:
     return F.crc32(id_.cast("string").cast("binary")) % 5
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> list[tuple[str, int, bool]]:
-    """(text, label, check) of at most max_toxic + max_clean labelled rows whose fold is not 0; those of fold 1 are the check."""
+def _sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
+    """id, text, label, check of at most max_toxic + max_clean labelled rows whose fold is not 0; those of fold 1 are the check."""
     slim = labels.select(F.col(id_col).alias("lid"), (F.col(label_col) == 1).cast("int").alias("label")).where("lid is not null and label is not null").where(fold(F.col("lid")) != 0).dropDuplicates(["lid"])
     order = [F.xxhash64("lid"), F.col("lid")]
     some = slim.where("label = 1").orderBy(*order).limit(max_toxic).unionByName(slim.where("label = 0").orderBy(*order).limit(max_clean))
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("id") == F.col("lid"))  # of bounded size
-    rows = found.select("id", "text", "label", (fold(F.col("id")) == 1).alias("check")).toPandas().sort_values(["id", "text"], kind="stable")
+    return found.select("id", "text", "label", (fold(F.col("id")) == 1).alias("check"))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, **options) -> list[tuple[str, int, bool]]:
+    """(text, label, check) of the rows that `train` fits on."""
+    rows = _sample(docs, labels, **options).toPandas().sort_values(["id", "text"], kind="stable")
     return list(zip(rows["text"].fillna("").tolist(), rows["label"].astype(int).tolist(), rows["check"].tolist(), strict=True))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, seed: int = 0, **options) -> Model:
-    """A model from the labelled rows of docs whose fold (crc32 of the id as text, mod 5) is not 0. Without any, all is clean."""
-    sample = training_sample(docs, labels, **options)
-    return fit([t for t, _, _ in sample], [y for _, y, _ in sample], [c for _, _, c in sample], seed=seed)
+    """A model from the labelled rows of docs whose fold (crc32 of the id as text, mod 5) is not 0. Without any, all is clean.
+
+    One task fits it on the sample, whose size is bounded; the driver gets the model alone, never the texts."""
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        texts = (t.as_py() for b in held for t in b.column("text"))
+        model = fit(texts, [y for b in held for y in b.column("label").to_pylist()], [c for b in held for c in b.column("check").to_pylist()], seed=seed)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()]), pa.array([float(model.bias)]), pa.array([float(model.plain)])], ["weights", "bias", "plain"])
+
+    sample = written(_sample(docs, labels, **options), "toxicity-sample")
+    rows = sample.coalesce(1).sortWithinPartitions("id", F.col("text").asc_nulls_last())
+    found = rows.mapInArrow(fitted, "weights binary, bias double, plain double").collect()
+    if not found:  # no partition, no row
+        return fit([], [], [], seed=seed)
+    return Model(np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"], found[0]["plain"])
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -155,6 +155,20 @@ def test_toxicity_learns_only_from_its_folds(spark):
     assert toxicity.train(docs, labels.limit(0)).bias < 0
 
 
+def test_toxicity_is_fitted_off_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, None if k == 3 else f"{'idiot moron' if k % 3 == 0 else 'kind words'} text {k}") for k in range(200)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(200)], "doc_id long, toxic int")
+    sample = toxicity.training_sample(docs, labels)
+    want = toxicity.fit([t for t, _, _ in sample], [y for _, y, _ in sample], [c for _, _, c in sample])
+
+    def gathered(*a, **b):
+        raise AssertionError("the driver gathers texts")
+
+    monkeypatch.setattr(toxicity, "training_sample", gathered)
+    got = toxicity.train(docs, labels)
+    assert np.array_equal(got.weights, want.weights) and (got.bias, got.plain) == (want.bias, want.plain)
+
+
 # 3
 
 
@@ -384,6 +398,35 @@ def test_a_repeated_line_makes_no_near_duplicates(spark):
     assert simhash.drop_near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).count() == 30
 
 
+def test_only_proposed_texts_leave_their_shingles(spark, monkeypatch):
+    """Texts of which nothing else is like are neither moved nor kept as shingles, whatever the bits of the sieve."""
+    import os
+
+    rows_ = [(g, " ".join(f"w{g}x{i}" for i in range(1500))) for g in range(150)]
+    rows_ += [(1000 + g, rows_[g][1] + " more") for g in range(5)] + [(None, rows_[7][1])] * 3
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    at = spark.conf.get("spark.checkpoint.dir")
+    taken = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(at) for f in names)
+    before = taken()
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == set(range(150))
+    assert taken() - before < 150 * 1500 * 8 / 2
+    import gridspark.llm._common as common
+
+    monkeypatch.setattr(common, "SIEVE_WORDS", 1)  # nearly all rows pass
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == set(range(150))
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 700])
+def test_sieve(spark, n):
+    from gridspark.llm._common import sieved, written
+
+    df = spark.range(3000).withColumn("sieve_word", F.lit(1))
+    keys = written(spark.range(3000).where(F.col("id") < n).select(F.xxhash64("id").alias("key")), "keys")
+    maybe, rest = (sorted(r["id"] for r in x.collect()) for x in sieved(df, F.xxhash64("id"), keys))
+    assert set(range(n)) <= set(maybe) and sorted(maybe + rest) == list(range(3000))
+    assert len(maybe) <= n + (3000 - n) * 0.12 + 5
+
+
 @pytest.mark.parametrize("rows", [2, 5, 1000])
 def test_alike_in_chunks(spark, rows):
     rng = np.random.default_rng(4)
