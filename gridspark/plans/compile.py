@@ -86,6 +86,7 @@ class Grid:
         self.formulas: dict[str, tuple[g.Node, int]] = {}
         self.report: list[dict[str, Any]] = []
         self._numbered: DataFrame | None = None
+        self._count: int | None = None
 
     def fill(self, letter: str, formula: str, *, at: int = 1, name: str | None = None) -> Grid:
         """Puts the formula into this column from row `at` down; earlier rows keep what the column has, or are blank."""
@@ -98,6 +99,12 @@ class Grid:
             self._numbered = self.df if ROW in self.df.columns or not self.order else with_rows(self.df, self.order, dense=self.dense)
         return self._numbered
 
+    def count(self) -> int:
+        """Number of rows."""
+        if self._count is None:
+            self._count = self.df.count()
+        return self._count
+
     def kinds(self) -> dict[str, str]:
         return {l: kind_of(t) for l, n in self.columns.items() for c, t in self.df.dtypes if c == n}
 
@@ -125,7 +132,8 @@ class Compiler:
         self.grid = grid
         self.letters = {g.col_number(l): l for l in grid.columns}
         self.kinds = grid.kinds()
-        self.scalars: dict[int, list[tuple[str, Column]]] = {}
+        self.scalars: dict[int | str, list[tuple[str, Column]]] = {}
+        self.reads: set[str] = set()  # own columns that the aggregate being compiled reads
         self.sheets: dict[int, Grid] = {}
         self.shifts: set[int] = set()
         self.frames: list[tuple[str, Column, int, int]] = []
@@ -147,9 +155,23 @@ class Compiler:
             out += ready
         return out
 
+    def arranged(self) -> list[str]:
+        """The order of evaluation: columns that move rows and what they read come first, so that rows move without the columns
+        that each makes of itself. As written where references are computed, since these do not tell what they read."""
+        plain = self.ordered()
+        trees = {l: t for l, (t, _) in self.grid.formulas.items()}
+        if any(g.calls(t) & g.DYNAMIC for t in trees.values()):
+            return plain
+        early: set[str] = set()
+        for l in reversed(plain):
+            tree, at = self.grid.formulas[l]
+            if l in early or self.strategy(l, tree, at) != "columnar":
+                early |= {l, *(self.letters[c] for n in g.walk(tree) for c in self._columns(n))}
+        return [l for l in plain if l in early] + [l for l in plain if l not in early]
+
     def _columns(self, n: g.Node) -> list[int]:
         if isinstance(n, g.Name) and n.name.lower() in {k.lower() for k in self.grid.names}:
-            return []
+            return [c for x in g.walk(self.target(n.name)) if not isinstance(x, g.Name) for c in self._columns(x)]
         if isinstance(n, g.Ref) and n.sheet is None:
             return [n.col] if n.col in self.letters else []
         if isinstance(n, g.Range) and n.sheet is None:
@@ -177,10 +199,12 @@ class Compiler:
 
     def run(self) -> DataFrame:
         self.df = self.grid.numbered()
-        for letter in self.ordered():
+        for letter in self.arranged():
             tree, at = self.grid.formulas[letter]
             self.column(letter, g.relative(tree, at, g.col_number(letter)), at)
-        return self.df
+        made = [c for l in self.ordered() for c in (self.grid.columns[l], f"{self.grid.columns[l]}_err")]
+        asked = list(dict.fromkeys(c for c in [*self.grid.numbered().columns, *made] if c in self.df.columns))
+        return self.df if asked == self.df.columns else self.df.select(*("`" + c.replace("`", "``") + "`" for c in asked))
 
     def fresh(self, stem: str) -> str:
         self.n += 1
@@ -216,7 +240,7 @@ class Compiler:
 
     def settle(self) -> None:
         for key, wanted in self.scalars.items():
-            source = self.df if key == 0 else self.sheets[key].numbered()
+            source = self.df if key == "made" else self.grid.numbered() if key == "given" else self.sheets[key].numbered()
             self.df = self.df.crossJoin(F.broadcast(source.agg(*(c.alias(a) for a, c in wanted))))  # one row
         if self.runnings:
             self.df = running(self.df, self.runnings, block_rows=self.grid.block_rows)
@@ -228,8 +252,11 @@ class Compiler:
                 out = out.withColumn(alias, c.over(block_window().rowsBetween(lo, hi)))
             self.df = out.where("_own").drop("_own", "_block")
 
-    def scalar(self, c: Column, sheet: Grid | None = None) -> Column:
-        key = 0 if sheet is None else id(sheet)
+    def scalar(self, c: Column, sheet: Grid | None = None, letters: set[str] | None = None) -> Column:
+        """An aggregate as one value. letters: the own columns it reads; the table as given answers, where that has them, so
+        that no join or frame of other columns is made again for it."""
+        made = (self.reads if letters is None else letters) & set(self.grid.formulas)
+        key = id(sheet) if sheet is not None else "made" if made else "given"
         if sheet is not None:
             self.sheets[key] = sheet
         alias = self.fresh("s")
@@ -387,6 +414,7 @@ class Compiler:
         if sheet is not None:
             return Val(F.col(sheet.columns[letter]), sheet.kinds()[letter])
         name = self.grid.columns[letter]
+        self.reads.add(letter)
         return Val(F.col(name), self.kinds[letter], F.col(f"{name}_err") if letter in self.errs else None)
 
     def column_of(self, col: int, fixed: bool) -> int:
@@ -404,8 +432,8 @@ class Compiler:
         v = self.source(letter, sheet)
         if n.abs_row:
             here = F.col(ROW) == n.row
-            err = None if v.err is None else self.scalar(F.max(F.when(here, v.err)), sheet)
-            return Val(self.scalar(F.max(F.when(here, v.value)), sheet), v.kind, err)
+            err = None if v.err is None else self.scalar(F.max(F.when(here, v.err)), sheet, {letter})
+            return Val(self.scalar(F.max(F.when(here, v.value)), sheet, {letter}), v.kind, err)
         if sheet is not None:
             other = sheet.numbered().select((F.col(ROW) - n.row).alias("_r"), v.value.alias(alias := self.fresh("o")))
             self.df = self.df.join(other, F.col(ROW) == F.col("_r"), "left").drop("_r")
@@ -541,10 +569,17 @@ class Compiler:
                             self.runnings[alias := self.fresh("e")] = ("min", F.when(err.isNotNull() & rows, F.struct(F.col(ROW).alias("r"), err.alias("e"))))
                             found.append(F.col(alias)["e"])
                         else:
-                            found.append((self.scalar(first) if how == "fixed" else self.framed(first, *rows))["e"])
+                            found.append((self.scalar(first, letters={letter}) if how == "fixed" else self.framed(first, *rows))["e"])
         return first_error(*found)
 
     def aggregate(self, name: str, args: tuple[g.Node, ...]) -> Val:
+        outer, self.reads = self.reads, set()
+        try:
+            return self._aggregate(name, args)
+        finally:
+            self.reads |= outer
+
+    def _aggregate(self, name: str, args: tuple[g.Node, ...]) -> Val:
         ranges = tuple(a for a in args if isinstance(a, (g.Range, g.Ref, g.Name)))
         if name in ("COUNTIF", "SUMIF", "AVERAGEIF", "COUNTIFS", "SUMIFS", "AVERAGEIFS", "MINIFS", "MAXIFS"):
             return self.by_criteria(name, args)
@@ -973,9 +1008,14 @@ class Compiler:
         if True in texts and (near or wild and re.search(r"[*?~]", str(want.constant or ""))):
             raise NotCompilable("a lookup of text by its order or by a pattern")
 
-    def keyed(self, v: Val) -> str:
-        alias = self.fresh("q")
+    def keyed(self, v: Val, n: g.Node | None = None) -> str:
+        """The column that holds the key n. A cell of the row is its own column, so that joins by one key share one shuffle."""
         self.settle_now()
+        if isinstance(n, g.Ref) and n.sheet is None and not n.row and not n.abs_row:
+            letter = g.col_letters(self.column_of(n.col, n.abs_col))
+            if letter in self.grid.columns:
+                return self.grid.columns[letter]
+        alias = self.fresh("q")
         self.df = self.df.withColumn(alias, v.value)
         return alias
 
@@ -993,6 +1033,23 @@ class Compiler:
         base = (self.df if sheet is None else sheet.numbered()).where(rows)
         return where, base, letters
 
+    def exact(self, key: Val, n: g.Node, xs: g.Node, value: str | None, alias: str, *, last: bool = False) -> None:
+        """Adds alias: the value in the first row of xs whose first column equals the key n (value None: the row's place in xs)."""
+        where, base, letters = self.table(xs)
+        sheet, _, r = self.area(xs)
+        q, first = self.keyed(key, n), where.columns[letters[0]]
+        given = sheet is not None or not {first, value} & {self.grid.columns[l] for l in self.grid.formulas}
+        if given and sheet is None:
+            base = self.grid.numbered().where(self.over(r, None)[1])
+        slim = base.select(ROW, F.col(first).alias("_tk"), (F.col(value) if value else (F.col(ROW) - ((r.top or 1) - 1)).cast("double")).alias("_tv"))
+        many = given and self.rows_in(where, r) > lookups.BROADCAST_ROWS and lookups.many_keys(where.df, first)
+        self.df = lookups.exact(self.df, q, slim, "_tk", "_tv", alias, last=last, many=many)
+
+    def rows_in(self, where: Grid, r: g.Range) -> int:
+        """How many rows of a fixed range there are at most, counted only where the range itself is long."""
+        span = None if r.bottom is None else r.bottom - (r.top or 1) + 1
+        return where.count() if span is None else span if span <= lookups.BROADCAST_ROWS else min(span, where.count())
+
     def found(self, alias: str, kind: str, key: Val) -> Val:
         return Val(F.col(alias), kind, first_error(key.err, F.col(f"{alias}_err")))
 
@@ -1005,10 +1062,12 @@ class Compiler:
             return Val(F.lit(None).cast("double"), "number", F.lit("Value" if i < 1 else "Ref"))
         kinds = where.kinds() if where is not self.grid else self.kinds
         self.comparable(want, where, letters[0], bool(approx), True)
-        q, alias = self.keyed(want), self.fresh("v")
-        first, value = where.columns[letters[0]], where.columns[letters[int(i) - 1]]
-        slim = base.select(ROW, F.col(first).alias("_tk"), F.col(value).alias("_tv"))
-        self.df = lookups.nearest(self.df, q, slim, "_tk", "_tv", alias) if approx else lookups.exact(self.df, q, slim, "_tk", "_tv", alias)
+        alias, first, value = self.fresh("v"), where.columns[letters[0]], where.columns[letters[int(i) - 1]]
+        if approx:
+            q = self.keyed(want)
+            self.df = lookups.nearest(self.df, q, base.select(F.col(first).alias("_tk"), F.col(value).alias("_tv")), "_tk", "_tv", alias)
+        else:
+            self.exact(want, key, table, value, alias)
         return self.found(alias, kinds[letters[int(i) - 1]], want)
 
     def f_match(self, key: g.Node, xs: g.Node, mode: g.Node = g.Num(1.0)) -> Val:
@@ -1017,11 +1076,12 @@ class Compiler:
         if m is None or len(letters) != 1:
             raise NotCompilable("MATCH with a moving mode or several columns")
         self.comparable(want, where, letters[0], m != 0, True)
-        q, alias, (_, _, r) = self.keyed(want), self.fresh("v"), self.area(xs)
-        slim = base.select(ROW, F.col(where.columns[letters[0]]).alias("_tk"), (F.col(ROW) - ((r.top or 1) - 1)).cast("double").alias("_place"))
+        alias, (_, _, r) = self.fresh("v"), self.area(xs)
         if m == 0:
-            self.df = lookups.exact(self.df, q, slim, "_tk", "_place", alias)
+            self.exact(want, key, xs, None, alias)
         else:
+            q = self.keyed(want)
+            slim = base.select(F.col(where.columns[letters[0]]).alias("_tk"), (F.col(ROW) - ((r.top or 1) - 1)).cast("double").alias("_place"))
             self.df = lookups.nearest(self.df, q, slim, "_tk", "_place", alias, above=m < 0)
         return self.found(alias, "number", want)
 
@@ -1033,11 +1093,12 @@ class Compiler:
             raise NotCompilable("XLOOKUP over several columns, with wildcards or by halves")
         kinds = where.kinds() if where is not self.grid else self.kinds
         self.comparable(want, where, letters[0], m != 0)
-        q, alias = self.keyed(want), self.fresh("v")
-        slim = base.select(ROW, F.col(where.columns[letters[0]]).alias("_tk"), F.col(where.columns[out[0]]).alias("_tv"))
+        alias = self.fresh("v")
         if m == 0:
-            self.df = lookups.exact(self.df, q, slim, "_tk", "_tv", alias, last=o < 0)
+            self.exact(want, key, xs, where.columns[out[0]], alias, last=o < 0)
         else:
+            q = self.keyed(want)
+            slim = base.select(F.col(where.columns[letters[0]]).alias("_tk"), F.col(where.columns[out[0]]).alias("_tv"))
             self.df = lookups.nearest(self.df, q, slim, "_tk", "_tv", alias, above=m > 0)
         hit = self.found(alias, kinds[out[0]], want)
         if isinstance(other, g.Omit):
@@ -1057,16 +1118,33 @@ class Compiler:
 
     def f_index(self, table: g.Node, row: g.Node, col: g.Node = g.Num(1.0)) -> Val:
         where, base, letters = self.table(table)
-        r, c, (_, _, rng) = self.number(self.expr(row)), self.expr(col).constant, self.area(table)
+        c, (_, _, rng) = self.expr(col).constant, self.area(table)
         if c is None or not 1 <= c <= len(letters):
             raise NotCompilable("INDEX with a moving column")
         letter = letters[int(c) - 1]
         kinds = where.kinds() if where is not self.grid else self.kinds
+        matched = self._matched(table, row)
+        if matched is not None:
+            want, alias = self.expr(matched[0]), self.fresh("v")
+            self.comparable(want, where, self.area(matched[1])[1][0], False, True)
+            self.exact(want, *matched, where.columns[letter], alias)
+            return self.found(alias, kinds[letter], want)
+        r = self.number(self.expr(row))
         q, alias = self.keyed(Val(F.when(r.err.isNull(), r.value) if r.err is not None else r.value, "number")), self.fresh("v")
         slim = base.select((F.col(ROW) - ((rng.top or 1) - 1)).alias(ROW), F.col(where.columns[letter]).alias("_tv"))
-        self.df = lookups.at_row(self.df, q, slim, "_tv", alias)
+        self.df = lookups.at_row(self.df, q, slim, "_tv", alias, many=self.rows_in(where, rng) > lookups.BROADCAST_ROWS)
         return Val(F.col(alias), kinds[letter], first_error(r.err, F.col(f"{alias}_err")))
 
+    def _matched(self, table: g.Node, row: g.Node) -> tuple[g.Node, g.Node] | None:
+        """(key, keys) of INDEX(table, MATCH(key, keys, 0)) over the same rows: the value stands in the row of the match, so one
+        lookup finds it and the place is not looked up in turn."""
+        while isinstance(row, g.Group):
+            row = row.arg
+        if not isinstance(row, g.Call) or row.name != "MATCH" or len(row.args) != 3 or row.args[2] not in (g.Num(0.0), g.Bool(False)):
+            return None
+        (a, _, r), (b, letters, x) = self.area(table), self.area(row.args[1])
+        return row.args[:2] if a is b and len(letters) == 1 and (r.top, r.bottom) == (x.top, x.bottom) else None
+
     def f_offset(self, base: g.Node, dr: g.Node, dc: g.Node = g.Num(0.0)) -> Val:
         """Of a cell by constant steps: the cell there. By a computed number of rows from a fixed cell: INDEX of its column."""
         rows, cols = self.expr(dr), self.expr(dc).constant

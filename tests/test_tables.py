@@ -175,6 +175,79 @@ def test_no_single_partition_window(spark):
     assert "SinglePartition" not in plan.replace("Exchange SinglePartition, ENSURE_REQUIREMENTS, [plan_id", "", 1)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_move_once_and_narrow(spark, monkeypatch):
+    """Two lookups by one column deal the rows out once, before any formula column stands in them."""
+    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 10, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES["BM2_wide_sheet"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(") == 3  # of the rows, and of the table of each lookup
+    assert re.search(r"Exchange hashpartitioning\(l_partkey[^\n]*\n[^\n]*FileScan parquet", plan)
+
+
+def test_whole_columns_are_read_from_the_table_as_given(spark):
+    """An aggregate of a column that was given makes no other column's aggregates anew."""
+    g = small(spark).fill("T", "=B1/SUM(B:B)").fill("U", "=B1/MAX(B:B)")
+    assert plan_of(g.run()).count("BroadcastNestedLoopJoin") == 5  # the first row's key for the rows and for each aggregate, and the two aggregates
+    g.fill("V", "=A1/SUM(T:T)")
+    xs = [float(i * 7 % 11) for i in range(1, 51)]
+    got = [(r["T"], r["U"], round(r["V"], 9)) for r in g.run().orderBy(ROW).collect()]
+    assert got == [(x / sum(xs), x / max(xs), float(i)) for i, x in enumerate(xs, 1)]
+
+
+@pytest.mark.parametrize("name", ["BM2_wide_sheet", "J1_first_match", "J4J6_index_match", "F20_dynamic"])
+def test_lookups_in_long_tables(spark, duck, monkeypatch, name):
+    """Tables of more keys than may be broadcast are joined by sort, however small Spark takes them to be."""
+    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 10, raising=False)
+    df = QUERIES[name](spark, SF)
+    assert "SortMergeJoin" in plan_of(df) and "BroadcastHashJoin" not in plan_of(df)
+    cols = sorted(df.columns)
+    res = duck.execute(SQL[name])
+    names = [c[0] for c in res.description]
+    assert sorted((tuple(r) for r in df.select(*cols).collect()), key=repr) == sorted((tuple(r[names.index(c)] for c in cols) for r in res.fetchall()), key=repr)
+
+
+def test_long_tables_of_few_keys_may_be_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 20, raising=False)
+    g = small(spark).fill("T", "=VLOOKUP(A1,B:B,1,FALSE)", name="v")  # 50 rows, 11 keys
+    assert "BroadcastHashJoin" in plan_of(g.run())
+
+
+@pytest.mark.parametrize("limit", [1 << 16, 2])
+def test_index_of_match_equals_the_whole_file_run(spark, monkeypatch, limit):
+    """First matches, misses, blanks, parts of columns, and ranges of different rows, where the place itself is looked up."""
+    monkeypatch.setattr(lookups, "BROADCAST_ROWS", limit, raising=False)
+    rows = [(1, 5.0, 10.0, 7.0), (2, 7.0, 20.0, 5.0), (3, 7.0, 30.0, 9.0), (4, 9.0, None, 1.0), (5, None, 50.0, 7.0), (6, 1.0, 60.0, 3.0)]
+    formulas = ["INDEX(C:C,MATCH(D1,B:B,0))", "INDEX(C$2:C$4,MATCH(D1,B$2:B$4,0))", "INDEX(C$3:C$6,MATCH(D1,B$1:B$4,0))", "INDEX(C$2:C$3,MATCH(D1,B$2:B$6,0))", "INDEX(A:C,(MATCH(D1,B:B,FALSE)),3)", "IFERROR(INDEX(C:C,MATCH(D1,B:B,0)),-1)", "INDEX(C:C,MATCH(1/(D1-9),B:B,0))", "VLOOKUP(D1,B:C,2,FALSE)", "MATCH(D1,B$2:B$6,0)"]
+    g = Grid(spark.createDataFrame(rows, "a long, b double, c double, d double").repartition(3), dict(zip("ABCD", "abcd", strict=True)), ["a"], dense=True)
+    for i, f in enumerate(formulas):
+        g.fill("EFGHIJKLM"[i], "=" + f, name=f"f{i}")
+    got = {r["a"]: r.asDict() for r in g.run().collect()}
+    cells = {f"{l}{r[0]}": (float(v) if l == "A" else v) for r in rows for l, v in zip("ABCD", r, strict=True) if v is not None}
+    moved = {f"{'EFGHIJKLM'[i]}{r[0]}": "=" + f.replace("D1", f"D{r[0]}") for i, f in enumerate(formulas) for r in rows}
+    sheet = api.eval_grid(workbook({"S": cells | moved}), spark=spark)["S"]
+    for i, f in enumerate(formulas):
+        for at, r in enumerate(rows):
+            want, have, err = sheet[at][4 + i], got[r[0]][f"f{i}"], got[r[0]].get(f"f{i}_err")
+            assert (have or 0.0) == (want or 0.0) and err is None if want is None or isinstance(want, float) else have is None and want["kind"] == err, (f, r, want, have, err)
+
+
+def test_columns_that_move_rows_come_first_and_stand_where_they_stood(spark):
+    g = small(spark, names={"Doubles": "$T:$T"})
+    g.fill("S", "=A1+0.5", name="s").fill("T", "=B1*2", name="t").fill("U", "=COUNTIF(Doubles,B1)", name="u").fill("V", "=SUM(B1:B2)", name="v").fill("W", "=1/(U1-U1)", name="w")
+    out = g.run()
+    assert out.columns == ["id", "x", ROW, "s", "t", "v", "u", "w", "w_err"]
+    xs = [float(i * 7 % 11) for i in range(1, 51)]
+    got = [(r["s"], r["t"], r["u"], r["v"], r["w_err"]) for r in out.orderBy(ROW).collect()]
+    assert got == [(i + 1.5, x * 2, float(sum(y * 2 == x for y in xs)), sum(xs[i : i + 2]), "Div") for i, x in enumerate(xs)]
+
+
 def test_stream_carries_rows(spark, tmp_path):
     from gridspark.streaming.carry import carried
 
